@@ -223,3 +223,70 @@ def binary_rows(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
     body = np.ascontiguousarray(flat[bounds[0] : bounds[-1]])
     arr = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(off.tobytes()), pa.py_buffer(body.tobytes())])
     return arr.cast(pa.binary())
+
+
+# ---------------------------------------------------------------- Spark
+
+def append_columns(df, text: str, keep: list[str], fields: list[tuple[str, str]], start, extra: tuple[str, ...] = ()):
+    """``keep`` and new columns computed from the texts, batch by batch.
+
+    ``start()`` runs once in each task and returns a function from (text array,
+    extra arrays) to the new arrays.  A new column replaces one of ``keep`` with
+    the same name in any case.
+    """
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    ship(df.sparkSession)
+    new = {n.lower() for n, _ in fields}
+    keep = [c for c in dict.fromkeys(keep) if c.lower() not in new]
+    need = list(dict.fromkeys([*keep, text, *extra]))
+    at = {c: i for i, c in enumerate(need)}
+    quoted = [F.col("`" + c.replace("`", "``") + "`") for c in need]
+    src = df.select(*[q.alias(f"c{i}") for i, q in enumerate(quoted)])
+    src = src.withColumn(f"c{at[text]}", F.col(f"c{at[text]}").cast("string"))
+    made = T.StructType([T.StructField(f"c{at[c]}", src.schema[f"c{at[c]}"].dataType) for c in keep] + [T.StructField(f"n{i}", T._parse_datatype_string(t)) for i, (_, t) in enumerate(fields)])
+    names, kept, ti, ex = made.names, [at[c] for c in keep], at[text], [at[c] for c in extra]
+
+    def run(batches):
+        work = start()
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), *work(b.column(ti), *(b.column(i) for i in ex))], names=names)
+
+    out = src.mapInArrow(run, made)
+    return out.select(*[F.col(f"c{at[c]}").alias(c) for c in keep], *[F.col(f"n{i}").alias(n) for i, (n, _) in enumerate(fields)])
+
+
+class Tally:
+    """Counts of 64-bit keys, merged now and then so that memory follows the distinct keys."""
+
+    def __init__(self, merge_at: int = 1 << 20) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.loose, self.merge_at = 0, merge_at
+
+    def add(self, keys: np.ndarray) -> None:
+        if len(keys):
+            s = np.sort(keys)
+            at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+            self.parts.append((s[at], np.diff(np.r_[at, len(s)])))
+            self.loose += len(at)
+            if self.loose >= self.merge_at:
+                self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.parts) > 1:
+            k, c = (np.concatenate(x) for x in zip(*self.parts))
+            order = np.argsort(k, kind="stable")
+            k, c = k[order], c[order]
+            at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            self.parts = [(k[at], np.add.reduceat(c, at))]
+            self.loose, self.merge_at = 0, max(self.merge_at, len(at))
+        return self.parts[0] if self.parts else (np.zeros(0, U64), np.zeros(0, np.int64))
+
+
+def sum_by(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of ``values[bounds[i]:bounds[i+1]]``; 0 where that is empty."""
+    total = np.zeros(len(values) + 1, values.dtype if values.dtype.kind == "f" else np.int64)
+    np.cumsum(values, out=total[1:])
+    return total[bounds[1:]] - total[bounds[:-1]]
