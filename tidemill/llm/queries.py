@@ -17,6 +17,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sharding
+
+    got = sharding.assign(_read(spark, sf_dir, "documents"), 40)
+    return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat_format as c
+
+    said = "<|im_end|><|im_start|>assistant ok"
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    got = c.format_tree(c.chains(rows, "conv_id", "turn", "role", "text"))
+    got = got.select(F.col("conv").alias("conv_id"), "formatted", c.read_back(F.col("formatted")).alias("turns"), c.learned(F.col("formatted"), F.col("loss")).alias("learned"))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    hexed = lambda x: F.sha2(x.cast("binary"), 256)
+    return got.select("conv_id", F.size("turns").cast("long").alias("n_turns"), hexed(lines).alias("turns_sha256"), F.char_length("learned").cast("long").alias("loss_chars"), hexed(F.col("learned")).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -36,6 +56,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_sharding": op2_sharding,
+    "op7_chat_format": op7_chat_format,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
