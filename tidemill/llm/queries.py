@@ -24,6 +24,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import minhash_dedup
+
+    return minhash_dedup.link(_read(spark, sf_dir, "documents"), width=3, numerator=85, denominator=100)
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import chat_format as c
 
@@ -57,6 +63,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_sharding": op2_sharding,
+    "op6_minhash_dedup": op6_minhash_dedup,
     "op7_chat_format": op7_chat_format,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_packing": op9_packing,
