@@ -24,6 +24,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import embedding_dedup
+
+    return embedding_dedup.link(_read(spark, sf_dir, "embeddings"))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import minhash_dedup
 
@@ -63,6 +69,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_sharding": op2_sharding,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_chat_format": op7_chat_format,
     "op8_byte_bpe": op8_byte_bpe,
