@@ -53,24 +53,27 @@ def branch_messages(tree: DataFrame, branches: int = 1) -> DataFrame:
     known = nodes.select("conv", F.col("node").alias("parent"), F.lit(True).alias("known"))
     up = nodes.join(known, ["conv", "parent"], "left").select("conv", "node", F.when(F.col("known"), F.col("parent")).alias("up"), "score", F.lit(1).cast("long").alias("steps"))
     leaves = nodes.select("conv", "node").join(nodes.select("conv", F.col("parent").alias("node")), ["conv", "node"], "left_anti")
-    jumps = [A.table(up, "jump")]
-    size = jumps[0].count()
-    # a chain has at most as many steps as there are messages; what is left then is a cycle
-    while jumps[-1].filter("up is not null").limit(1).count() and 1 << (len(jumps) - 1) <= size:
-        a = jumps[-1]
-        b = a.select("conv", F.col("node").alias("up"), F.col("up").alias("further"), F.col("score").alias("more"), F.col("steps").alias("longer"))
-        jumps.append(A.table(a.join(b, ["conv", "up"], "left").select("conv", "node", F.col("further").alias("up"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"), (F.col("steps") + F.coalesce("longer", F.lit(0))).alias("steps")), "jump"))
-    total = jumps[-1].filter("up is null").select("conv", "node", "score", "steps")
+    steps = A.table(up, "jump")
+    going, ended = steps.filter("up is not null"), steps.filter("up is null")
+    # level k has the messages with an ancestor 2**k steps up; the sums of the others have reached a root
+    jumps = [going]
+    size = steps.count()
+    while 1 << (len(jumps) - 1) <= size and going.limit(1).count():  # what is left after that is a cycle
+        b = going.unionByName(ended).select("conv", F.col("node").alias("up"), F.col("up").alias("further"), F.col("score").alias("more"), F.col("steps").alias("longer"))
+        steps = A.table(going.join(b, ["conv", "up"]).select("conv", "node", F.col("further").alias("up"), (F.col("score") + F.col("more")).alias("score"), (F.col("steps") + F.col("longer")).alias("steps")), "jump")
+        going, ended = steps.filter("up is not null"), ended.unionByName(steps.filter("up is null"))
+        jumps.append(going)
+    total = ended.select("conv", "node", "score", "steps")
     rank = F.row_number().over(Window.partitionBy("conv").orderBy(F.desc("score"), "node"))
     chosen = leaves.join(total, ["conv", "node"]).withColumn("branch", rank).filter(F.col("branch") <= branches)
-    # split each path in halves down to single messages: the part from `node` up takes `steps` messages and ends `below` its leaf
-    part = chosen.select("conv", "branch", "node", "steps", F.lit(0).cast("long").alias("below"), F.col("steps").alias("all"))
-    for k in range(len(jumps) - 1, 0, -1):
-        half = 1 << (k - 1)
-        far = jumps[k - 1].select("conv", "node", F.col("up").alias("far"))
-        wide = F.col("steps") > half
-        both = F.array(F.struct(F.col("node").alias("node"), F.least("steps", F.lit(half)).alias("steps"), F.col("below").alias("below")), F.struct(F.col("far").alias("node"), (F.col("steps") - half).alias("steps"), (F.col("below") + half).alias("below")))
-        part = part.join(far, ["conv", "node"]).select("conv", "branch", "all", F.explode(F.when(wide, both).otherwise(F.slice(both, 1, 1))).alias("p")).select("conv", "branch", "all", "p.*")
+    # halve each path down to single messages: a part goes up `steps` messages from `node`, `below` messages above its leaf
+    part = A.table(chosen.select("conv", "branch", "node", "steps", F.lit(0).cast("long").alias("below"), F.col("steps").alias("all")), "part")
+    for k in range(len(jumps) - 1, -1, -1):
+        half = 1 << k
+        far = jumps[k].select("conv", "node", F.col("up").alias("far"))
+        wide = part.filter(F.col("steps") > half).join(far, ["conv", "node"])
+        both = F.array(F.struct(F.col("node").alias("node"), F.lit(half).cast("long").alias("steps"), F.col("below").alias("below")), F.struct(F.col("far").alias("node"), (F.col("steps") - half).alias("steps"), (F.col("below") + half).alias("below")))
+        part = A.table(part.filter(F.col("steps") <= half).unionByName(wide.select("conv", "branch", "all", F.explode(both).alias("p")).select("conv", "branch", "all", "p.*")), "part")
     return part.select("conv", "branch", (F.col("all") - F.col("below") - 1).alias("place"), "node")
 
 
