@@ -30,6 +30,13 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link(_read(spark, sf_dir, "embeddings"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_dedup
+
+    got = suffix_dedup.cut(_read(spark, sf_dir, "documents"), ["doc_id"])
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import minhash_dedup
 
@@ -70,6 +77,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_embedding_dedup": op3_embedding_dedup,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_chat_format": op7_chat_format,
     "op8_byte_bpe": op8_byte_bpe,
