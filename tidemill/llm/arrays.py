@@ -175,8 +175,9 @@ class Words:
         return np.repeat(np.arange(len(self.bounds) - 1), self.counts)
 
 
-def words_of(block: Block) -> Words:
-    solid = ~SPACE[block.data]
+def words_of(block: Block, space: np.ndarray = SPACE) -> Words:
+    """Runs of bytes that `space` doesn't mark."""
+    solid = ~space[block.data]
     n = len(solid)
     before = np.empty(n, bool)
     before[1:] = solid[:-1]
@@ -199,6 +200,10 @@ def windows(counts: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndar
     return first, owner
 
 
+#: Letters, digits and all bytes over 127 make plain words; other bytes part them.
+PLAIN_SPACE = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
 def repeated(keys: np.ndarray) -> np.ndarray:
     """True where a key occurs twice or more."""
     s = np.sort(keys)
@@ -290,3 +295,36 @@ def sum_by(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, values.dtype if values.dtype.kind == "f" else np.int64)
     np.cumsum(values, out=total[1:])
     return total[bounds[1:]] - total[bounds[:-1]]
+
+
+# ---------------------------------------------------------------- labels
+
+def labelled(docs, labels, key: str, label: str, remainders: tuple[int, ...], limit: int = 4_000_000):
+    """docs with their label in column ``y`` (0 or 1; the greater of several), of the keys
+    whose crc32 modulo 4 is one of ``remainders``.  The labels are broadcast if there
+    are at most ``limit``; beyond that it is a plain join."""
+    from pyspark.sql import functions as F
+
+    fold = F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4))
+    y = labels.filter(F.col(label).isin(0, 1) & fold.isin(*remainders)).groupBy(F.col(key).alias("__key")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    y = F.broadcast(y) if y.count() <= limit else y
+    return docs.join(y, docs[key] == y["__key"]).drop("__key")
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Weights (the last is the constant) of a logistic regression on standardised columns,
+    put back to the columns' own scale; the log-odds of y where it has one value or no rows."""
+    n, k = x.shape if len(x) else (0, x.shape[1])
+    w = np.zeros(k + 1)
+    if n == 0 or y.min() == y.max():
+        w[-1] = np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
+        return w
+    mean, sd = x.mean(0), np.maximum(x.std(0), 1e-9)
+    z = np.c_[(x - mean) / sd, np.ones(n)]
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(k + 1), z.T @ (p - y) + ridge * w)
+        w -= step
+        if np.abs(step).max() < 1e-8:
+            break
+    return np.r_[w[:-1] / sd, w[-1] - (w[:-1] * mean / sd).sum()]

@@ -17,6 +17,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    got = toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), ["doc_id"])
+    return got.select("doc_id", "held_out", "score", "predicted")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import sharding
 
@@ -75,6 +82,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_sharding": op2_sharding,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op5_suffix_dedup": op5_suffix_dedup,
