@@ -37,6 +37,12 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link(_read(spark, sf_dir, "embeddings"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_classifier
+
+    return quality_classifier.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import suffix_dedup
 
@@ -85,6 +91,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_sharding": op2_sharding,
     "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_chat_format": op7_chat_format,
