@@ -24,7 +24,7 @@ rows only.
 Defined results: a null text counts as empty; texts shorter than ``length`` have
 nothing removed; equal texts (in any rows, whatever their keys) remove each other; matches never
 cross texts; judged on the input, not on what is left; an empty table gives an
-empty result.  Cut texts may end inside a character: ``kept`` is binary.
+empty result.  Cuts may lie inside a character: ``kept`` is binary.
 """
 
 from __future__ import annotations
@@ -293,8 +293,10 @@ def _hot_spans(texts: DataFrame, keys: DataFrame, rows: DataFrame, length: int)
     return hit.select("h", "g", F.struct(F.col("p").alias("b"), (F.col("p") + length).alias("e")).alias("s"))
 
 
-def cut(docs: DataFrame, keep: list[str], text: str = "text", length: int = LENGTH) -> DataFrame:
-    """``keep``, n_bytes, n_removed, n_spans and kept (binary) of every row."""
+def cut(docs: DataFrame, keep: list[str], text: str = "text", length: int = LENGTH, whole_characters: bool = False) -> DataFrame:
+    """``keep``, n_bytes, n_removed, n_spans and kept (binary) of every row.  With
+    ``whole_characters`` a character stays unless all of its bytes are repeated,
+    so that what is kept is text."""
     _, covered = spans_of(docs, text, length)
     covered = A.table(covered, "spans")
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -315,6 +317,9 @@ def cut(docs: DataFrame, keep: list[str], text: str = "text", length: int = LENG
                         np.add.at(edge, b, 1)
                         np.add.at(edge, e, -1)
                 out = np.cumsum(edge[:-1]) > 0
+                if whole_characters and len(data):
+                    char = np.cumsum((data & 0xC0) != 0x80) - 1
+                    out = (np.bincount(char, out) == np.bincount(char))[char]
                 first = out & ~np.r_[False, out[:-1]] if len(out) else out
                 begins = off[:-1][block.sizes > 0]
                 first[begins] = out[begins]
