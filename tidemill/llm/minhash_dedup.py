@@ -8,13 +8,15 @@ Bands of ``ROWS`` values bucket the texts.
 Texts with equal shingle sets are one representative from the start.  Within a
 bucket links are sought in two steps, so that no bucket's pairs are emitted:
 
-1. every member is compared with the bucket's smallest member;
+1. every member is compared with the bucket's most central one (whose buckets hold
+   most others; ties: smallest key);
 2. after the components of the links found so far, members of one bucket in
-   *different* components are compared if the sizes of their sets and their
-   one-bit sketches (128 bits) leave the threshold possible.
+   *different* components are compared, tile by tile, if the sizes of their sets
+   and their one-bit sketches leave the threshold possible; a pair is taken in the
+   first bucket that it shares, and only pairs that link are emitted.
 
-All links are confirmed on full shingle sets, so whatever shares a bucket is
-decided exactly.  Two texts of similarity s share none with probability
+All links are confirmed on full shingle sets.  A pair at the threshold is lost by
+its sketches (4.5 deviations) with probability under 1e-5.  Two texts of similarity s share none with probability
 ``(1 - s**ROWS)**(2 * HASHES / ROWS)``: 1e-5 at 0.85, 2e-4 at 0.8.
 
 Defined results: a text without words (null, empty, white space) has the empty
@@ -37,8 +39,8 @@ from .components import components
 
 HASHES, ROWS = 50, 5
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5
-#: Bits of 100 in which the sketches of texts at a threshold of 0.8 or more may differ (5 deviations).
-SKETCH_BITS = 25
+#: Rows of a bucket in one tile.
+TILE = 1024
 _MULTIPLY = A.mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
 
@@ -119,17 +121,108 @@ def _sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """key, set (its sorted hashes) and brief (their low 32 bits, sorted)."""
+
     def start():
         def work(column):
-            parts = []
+            parts, brief = [], []
             for block in A.text_blocks(column):
                 keys, bounds = shingles(block, width)
                 parts.append(A.binary_rows(keys, bounds))
-            return [pa.concat_arrays(parts)]
+                owner = np.repeat(np.arange(len(block), dtype=np.uint64), np.diff(bounds))
+                low = np.sort((owner << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF)))
+                brief.append(A.binary_rows(low.astype(np.uint32), bounds))
+            return [pa.concat_arrays(parts), pa.concat_arrays(brief)]
 
         return work
 
-    return A.append_columns(docs, text, [key], [("set", "binary")], start)
+    return A.append_columns(docs, text, [key], [("set", "binary"), ("brief", "binary")], start)
+
+
+def sketch_limit(numerator: int, denominator: int) -> int:
+    """Bits in which the sketches of texts at the threshold or above may differ:
+    the mean at the threshold and 4.5 deviations."""
+    p = (1 - numerator / denominator) / 2
+    return int(2 * HASHES * p + 4.5 * (2 * HASHES * p * (1 - p)) ** 0.5)
+
+
+def _unit(t: pa.Table, numerator: int, denominator: int) -> list[tuple[int, int]]:
+    """Links of one bucket (or of two of its tiles) between different components,
+    found by sketches and brief sets; pairs that those found connect are skipped."""
+    k, c, n, low, high, chunk = (t.column(x).to_numpy() for x in ("k", "c", "n", "low", "high", "chunk"))
+    if (c == c[0]).all():
+        return []
+    band, cross = t.column("band")[0].as_py(), t.column("ti")[0].as_py() != t.column("tj")[0].as_py()
+    bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(k), -1)
+    limit = sketch_limit(numerator, denominator)
+    left, right, far = [], [], []
+    for i in range(len(k) - 1):
+        d = np.bitwise_count(low[i] ^ low[i + 1 :]) + np.bitwise_count(high[i] ^ high[i + 1 :])
+        m = n[i + 1 :]
+        ok = (d <= limit) & (c[i] != c[i + 1 :]) & (denominator * np.minimum(n[i], m) >= numerator * np.maximum(n[i], m))
+        if cross:
+            ok &= chunk[i] != chunk[i + 1 :]
+        j = np.flatnonzero(ok)
+        if len(j):
+            same = bands[i] == bands[i + 1 + j]
+            j = j[bands[i][same.argmax(1)] == band]  # the first bucket that both are in
+            left.append(np.full(len(j), i)), right.append(i + 1 + j), far.append(d[j])
+    if not left:
+        return []
+    i, j, d = (np.concatenate(x) for x in (left, right, far))
+    brief, parent, found = t.column("brief"), {}, []
+    sets: dict[int, np.ndarray] = {}
+
+    def of(x: int) -> np.ndarray:
+        if x not in sets:
+            sets[x] = np.frombuffer(brief[x].as_py(), np.uint32)
+        return sets[x]
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = x = parent.get(parent[x], parent[x])
+        return x
+
+    for x, y in zip(i[np.argsort(d, kind="stable")].tolist(), j[np.argsort(d, kind="stable")].tolist()):
+        p, q = root(int(c[x])), root(int(c[y]))
+        if p == q:
+            continue
+        u, v = of(x), of(y)
+        s = np.sort(np.concatenate((u, v)))
+        both = int((s[1:] == s[:-1]).sum())
+        if denominator * both >= numerator * (len(u) + len(v) - both):
+            parent[p] = q
+            found.append((int(k[x]), int(k[y])))
+    return found
+
+
+def _mixed_links(members: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """(a, b): links between members of one bucket in different components.  Buckets
+    are cut into tiles of about TILE rows; each pair of tiles is a unit of work."""
+    A.ship(members.sparkSession)
+    sizes = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("chunks"))
+    rows = members.join(sizes, "band").withColumn("chunk", F.pmod(F.xxhash64("k"), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"ti": F.least("chunk", "o"), "tj": F.greatest("chunk", "o")})
+    parts = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    rows = rows.select("band", "ti", "tj", "k", "c", "n", "low", "high", "bands", "brief", "chunk").repartition(parts, "band", "ti", "tj").sortWithinPartitions("band", "ti", "tj", "k")
+
+    def run(batches):
+        rest = None
+        for whole in batches:
+            for s in range(0, whole.num_rows, 1024):
+                b = pa.Table.from_batches([whole.slice(s, 1024)])
+                t = pa.concat_tables([rest, b]).combine_chunks() if rest is not None else b
+                key = [t.column(x).to_numpy() for x in ("band", "ti", "tj")]
+                new = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in key])) + 1
+                ends = new.tolist()
+                found = [p for f, e in zip([0, *ends], ends) for p in _unit(t.slice(f, e - f), numerator, denominator)]
+                rest = t.slice(ends[-1] if ends else 0)  # the last unit may go on
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+        if rest is not None and (found := _unit(rest, numerator, denominator)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
@@ -150,8 +243,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int
                 keep = pa.array(good)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], names=["a", "b"])
 
-    one = pairs.join(sets.withColumnsRenamed({"k": "a", "set": "x"}), "a")
-    two = one.join(sets.withColumnsRenamed({"k": "b", "set": "y"}), "b")
+    one = pairs.join(sets.select(F.col("k").alias("a"), F.col("set").alias("x")), "a")
+    two = one.join(sets.select(F.col("k").alias("b"), F.col("set").alias("y")), "b")
     return two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -164,13 +257,17 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     reps = A.table(rows.filter(~alone).groupBy("f", "g").agg(F.min(F.struct("k", "n", "low", "high", "bands")).alias("r")).select("f", "g", "r.*"), "reps")
     slim = reps.select("k", "n", "low", "high")
     member = reps.select("k", F.explode("bands").alias("band"))
-    least = member.groupBy("band").agg(F.min("k").alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("band", "hub")
-    member = A.table(member.join(least, "band"), "members")
+    many = member.groupBy("band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    member = A.table(member.join(many, "band"), "members")
+    # the text that shares most with others is the likeliest centre of its copies
+    central = member.join(member.groupBy("k").agg(F.sum("m").alias("share")), "k")
+    hub = central.groupBy("band").agg(F.max(F.struct("share", (-F.col("k")).alias("less"))).alias("r")).select("band", (-F.col("r.less")).alias("hub"))
+    member = A.table(member.join(hub, "band").select("k", "band", "hub"), "members")
     possible = lambda p: (p
         .join(slim.select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("low").alias("la"), F.col("high").alias("ha")), "a")
         .join(slim.select(F.col("k").alias("b"), F.col("n").alias("nb"), F.col("low").alias("lb"), F.col("high").alias("hb")), "b")
         .filter(_near("na", "la", "ha", "nb", "lb", "hb", numerator, denominator)).select("a", "b"))
-    star = A.table(possible(member.filter("k <> hub").select(F.col("hub").alias("a"), F.col("k").alias("b")).distinct()), "star")
+    star = A.table(possible(member.filter("k <> hub").select(F.least("hub", "k").alias("a"), F.greatest("hub", "k").alias("b")).distinct()), "star")
     need = member.select("k").distinct()
     sets = A.table(_sets(docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).join(need, "k", "left_semi"), "k", "t", width), "sets")
     links = A.table(_confirm(star, sets, numerator, denominator), "confirmed")
@@ -178,10 +275,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     # what a bucket still holds in different components
     seen = member.join(label.withColumnRenamed("node", "k"), "k", "left").select("band", "k", F.coalesce("component", "k").alias("c"))
     mixed = seen.groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("band")
-    side = A.table(seen.join(mixed, "band", "left_semi").join(slim, "k"), "mixed")
-    a, b = (side.select("band", *[F.col(c).alias(f"{c}{s}") for c in ("k", "c", "n", "low", "high")]) for s in "ab")
-    rest = a.join(b, "band").filter((F.col("ka") < F.col("kb")) & (F.col("ca") != F.col("cb")) & _near("na", "lowa", "higha", "nb", "lowb", "highb", numerator, denominator)).select(F.col("ka").alias("a"), F.col("kb").alias("b")).distinct()
-    rest = A.table(rest.join(star, ["a", "b"], "left_anti"), "rest")
+    side = seen.join(mixed, "band", "left_semi").join(reps.select("k", "n", "low", "high", "bands").join(sets.select("k", "brief"), "k"), "k")
+    rest = A.table(_mixed_links(side, numerator, denominator).distinct(), "rest")
     more = A.table(_confirm(rest, sets, numerator, denominator), "confirmed")
     label = components(links.union(more))
     of_set = reps.join(label.withColumnRenamed("node", "k"), "k", "left").select("f", "g", F.coalesce("component", "k").alias("component_id"))
@@ -193,7 +288,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
 def _near(na, la, ha, nb, lb, hb, numerator, denominator):
     """The set sizes and sketches of two texts leave the threshold possible."""
     sizes = denominator * F.least(na, nb) >= numerator * F.greatest(na, nb)
-    return sizes & (F.bit_count(F.col(la).bitwiseXOR(F.col(lb))) + F.bit_count(F.col(ha).bitwiseXOR(F.col(hb))) <= SKETCH_BITS)
+    return sizes & (F.bit_count(F.col(la).bitwiseXOR(F.col(lb))) + F.bit_count(F.col(ha).bitwiseXOR(F.col(hb))) <= sketch_limit(numerator, denominator))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
