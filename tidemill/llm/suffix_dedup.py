@@ -237,17 +237,18 @@ def spans_of(docs: DataFrame, text: str = "text", length: int = LENGTH) -> tuple
     texts = docs.select(t.alias("t"), *_name(t))
     rows = _anchor_rows(texts, length).groupBy("key", "ctx", "h", "g", "pos").agg(F.count(F.lit(1)).alias("m"))
     rows = A.table(rows, "anchors")
-    seen = rows.groupBy("key").agg(F.sum("m").alias("all")).filter("all > 1").select("key")
+    # written tables below leave Spark free to split what a common key or context holds
+    seen = A.table(rows.groupBy("key").agg(F.sum("m").alias("all")).filter("all > 1").select("key"), "keys")
     rows = A.table(rows.join(seen, "key", "left_semi"), "anchors")
     by_ctx = A.table(rows.groupBy("key", "ctx").agg(F.sum("m").alias("n"), F.min(F.struct("h", "g", "pos")).alias("r")), "contexts")
-    kinds = by_ctx.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    kinds = A.table(by_ctx.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "kinds")
     several = by_ctx.join(kinds, "key").select("key", "ctx", "kinds", "r.*")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     sorted_ = _contexts(texts, several.filter(F.col("kinds") <= TREE_CONTEXTS), length).repartition(parts, "key").sortWithinPartitions("key", "rgt", "lft")
     tree = _covered(sorted_, length)
     whole = by_ctx.filter("n > 1").select("key", "ctx", F.lit(length - min(GRAM, length)).cast("long").alias("l"), F.lit(length).cast("long").alias("r"))
     found = A.table(tree.union(whole), "repeats")
-    best = found.groupBy("key", "ctx").agg(F.collect_set(F.struct("l", "r")).alias("all"))
+    best = A.table(found.groupBy("key", "ctx").agg(F.collect_set(F.struct("l", "r")).alias("all")), "repeats")
     spans = rows.select("key", "ctx", "h", "g", "pos").join(best, ["key", "ctx"]).select("h", "g", F.explode(F.transform("all", lambda x: F.struct((F.col("pos") - x["l"]).alias("b"), (F.col("pos") + x["r"]).alias("e")))).alias("s"))
     hot = _hot_spans(texts, several.filter(F.col("kinds") > TREE_CONTEXTS).select("key").distinct(), rows, length)
     covered = spans.union(hot).groupBy("h", "g").agg(F.collect_set("s").alias("spans"))
