@@ -39,8 +39,10 @@ from .components import components
 
 HASHES, ROWS = 50, 5
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5
-#: Rows of a bucket in one tile.
-TILE = 1024
+#: Rows of a bucket in one tile, and texts that one task compares with a hub.
+TILE, HUB_ROWS = 1024, 4096
+#: Above this many rows of ids the join with the texts isn't a broadcast.
+BROADCAST_ROWS = 2_000_000
 _MULTIPLY = A.mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
 
@@ -120,23 +122,27 @@ def _sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return A.append_columns(docs, text, [key], [("n", "bigint"), ("f", "bigint"), ("g", "bigint"), ("low", "bigint"), ("high", "bigint"), ("bands", "array<bigint>")], start)
 
 
-def _sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """key, set (its sorted hashes) and brief (their low 32 bits, sorted)."""
+def _with_sets(docs: DataFrame, more: DataFrame, key: str, text: str, width: int, brief: bool) -> DataFrame:
+    """The rows of ``more`` (k and others, a row for each k) with the sorted shingle
+    hashes of their texts in ``set``; ``brief``: their low 32 bits.  The side without
+    texts is broadcast if it has at most ``BROADCAST_ROWS`` rows; else it is a plain join."""
+    small = more.count() <= BROADCAST_ROWS
+    named = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).join(F.broadcast(more) if small else more, "k")
 
     def start():
         def work(column):
-            parts, brief = [], []
+            parts = []
             for block in A.text_blocks(column):
                 keys, bounds = shingles(block, width)
+                if brief:
+                    owner = np.repeat(np.arange(len(block), dtype=np.uint64), np.diff(bounds))
+                    keys = np.sort((owner << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))).astype(np.uint32)
                 parts.append(A.binary_rows(keys, bounds))
-                owner = np.repeat(np.arange(len(block), dtype=np.uint64), np.diff(bounds))
-                low = np.sort((owner << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF)))
-                brief.append(A.binary_rows(low.astype(np.uint32), bounds))
-            return [pa.concat_arrays(parts), pa.concat_arrays(brief)]
+            return [pa.concat_arrays(parts)]
 
         return work
 
-    return A.append_columns(docs, text, [key], [("set", "binary"), ("brief", "binary")], start)
+    return A.append_columns(named, "t", more.columns, [("set", "binary")], start)
 
 
 def sketch_limit(numerator: int, denominator: int) -> int:
@@ -196,11 +202,11 @@ def _unit(t: pa.Table, numerator: int, denominator: int) -> list[tuple[int, int]
     return found
 
 
-def _mixed_links(members: DataFrame, numerator: int, denominator: int) -> DataFrame:
+def _mixed_links(members: DataFrame, sizes: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """(a, b): links between members of one bucket in different components.  Buckets
     are cut into tiles of about TILE rows; each pair of tiles is a unit of work."""
     A.ship(members.sparkSession)
-    sizes = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("chunks"))
+    sizes = A.table(sizes.select("band", F.ceil(F.col("m") / TILE).cast("int").alias("chunks")), "sizes")
     rows = members.join(sizes, "band").withColumn("chunk", F.pmod(F.xxhash64("k"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"ti": F.least("chunk", "o"), "tj": F.greatest("chunk", "o")})
     parts = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -225,27 +231,38 @@ def _mixed_links(members: DataFrame, numerator: int, denominator: int) -> DataFr
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+def _confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, numerator: int, denominator: int) -> DataFrame:
+    """The pairs (hub, k) whose full sets reach the threshold.
+
+    Each text's set goes once to every hub that it is compared with, where the hub's
+    own set comes first.  Hubs of more than ``HUB_ROWS`` texts are cut into chunks, each
+    with a copy of the hub's set."""
     A.ship(pairs.sparkSession)
+    chunks = A.table(pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / HUB_ROWS).cast("int").alias("chunks")), "hubs")
+    own = chunks.select("hub", F.col("hub").alias("k"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("place"))
+    others = pairs.join(chunks, "hub").select("hub", "k", F.pmod(F.xxhash64("k"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("place"))
+    meets = A.table(own.unionByName(others).groupBy("k").agg(F.collect_list(F.struct("hub", "chunk", "place")).alias("meets")), "meets")
+    sets = _with_sets(docs, meets, key, text, width, False).select("k", "set", F.explode("meets").alias("m")).select("m.*", "k", "set")
+    parts = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    sets = sets.repartition(parts, "hub", "chunk").sortWithinPartitions("hub", "chunk", "place", "k")
 
     def run(batches):
+        here, u = None, None
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                x, y = part.column(2), part.column(3)
-                good = np.zeros(part.num_rows, bool)
-                for k, (u, v) in enumerate(zip(x.to_pylist(), y.to_pylist())):
-                    u, v = np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64)
+            found = []
+            for hub, chunk, place, k, raw in zip(*(b.column(i).to_pylist() for i in range(4)), b.column(4)):
+                v = np.frombuffer(raw.as_buffer(), np.uint64)
+                if place == 0:
+                    here, u = (hub, chunk), v
+                elif here == (hub, chunk):
                     s = np.sort(np.concatenate((u, v)))
                     both = int((s[1:] == s[:-1]).sum())
-                    good[k] = denominator * both >= numerator * (len(u) + len(v) - both)
-                keep = pa.array(good)
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], names=["a", "b"])
+                    if denominator * both >= numerator * (len(u) + len(v) - both):
+                        found.append((hub, k))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
 
-    one = pairs.join(sets.select(F.col("k").alias("a"), F.col("set").alias("x")), "a")
-    two = one.join(sets.select(F.col("k").alias("b"), F.col("set").alias("y")), "b")
-    return two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return sets.select("hub", "chunk", "place", "k", "set").mapInArrow(run, "a long, b long")
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
@@ -263,21 +280,19 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     central = member.join(member.groupBy("k").agg(F.sum("m").alias("share")), "k")
     hub = central.groupBy("band").agg(F.max(F.struct("share", (-F.col("k")).alias("less"))).alias("r")).select("band", (-F.col("r.less")).alias("hub"))
     member = A.table(member.join(hub, "band").select("k", "band", "hub"), "members")
-    possible = lambda p: (p
-        .join(slim.select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("low").alias("la"), F.col("high").alias("ha")), "a")
-        .join(slim.select(F.col("k").alias("b"), F.col("n").alias("nb"), F.col("low").alias("lb"), F.col("high").alias("hb")), "b")
-        .filter(_near("na", "la", "ha", "nb", "lb", "hb", numerator, denominator)).select("a", "b"))
-    star = A.table(possible(member.filter("k <> hub").select(F.least("hub", "k").alias("a"), F.greatest("hub", "k").alias("b")).distinct()), "star")
-    need = member.select("k").distinct()
-    sets = A.table(_sets(docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).join(need, "k", "left_semi"), "k", "t", width), "sets")
-    links = A.table(_confirm(star, sets, numerator, denominator), "confirmed")
+    facts = lambda c, x: slim.select(F.col("k").alias(c), *[F.col(n).alias(n + x) for n in ("n", "low", "high")])
+    star = member.filter("k <> hub").select("hub", "k").distinct().join(facts("hub", "a"), "hub").join(facts("k", "b"), "k")
+    star = A.table(star.filter(_near("na", "lowa", "higha", "nb", "lowb", "highb", numerator, denominator)).select("hub", "k"), "star")
+    links = A.table(_confirm(star, docs, key, text, width, numerator, denominator), "confirmed")
     label = components(links)
     # what a bucket still holds in different components
     seen = member.join(label.withColumnRenamed("node", "k"), "k", "left").select("band", "k", F.coalesce("component", "k").alias("c"))
     mixed = seen.groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("band")
-    side = seen.join(mixed, "band", "left_semi").join(reps.select("k", "n", "low", "high", "bands").join(sets.select("k", "brief"), "k"), "k")
-    rest = A.table(_mixed_links(side, numerator, denominator).distinct(), "rest")
-    more = A.table(_confirm(rest, sets, numerator, denominator), "confirmed")
+    side = A.table(seen.join(mixed, "band", "left_semi").groupBy("k", "c").agg(F.collect_list("band").alias("in")).join(reps.select("k", "n", "low", "high", "bands"), "k"), "mixed")
+    sizes = side.select(F.explode("in").alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("m"))
+    side = _with_sets(docs, side, key, text, width, True).withColumnRenamed("set", "brief").withColumn("band", F.explode("in")).drop("in")
+    rest = A.table(_mixed_links(side, sizes, numerator, denominator).select(F.col("a").alias("hub"), F.col("b").alias("k")).distinct(), "rest")
+    more = A.table(_confirm(rest, docs, key, text, width, numerator, denominator), "confirmed")
     label = components(links.union(more))
     of_set = reps.join(label.withColumnRenamed("node", "k"), "k", "left").select("f", "g", F.coalesce("component", "k").alias("component_id"))
     placed = rows.filter(~alone).select("k", "n", "f", "g").join(of_set, ["f", "g"]).select("k", "n", "component_id")
