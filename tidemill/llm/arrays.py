@@ -32,9 +32,16 @@ LOWER[65:91] += 32
 
 # ---------------------------------------------------------------- session
 
+#: Rows and bytes of one Arrow batch: a worker's memory follows these, not Spark's default of 10,000 rows of any size.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
+
+
 def ship(spark) -> None:
-    """Makes this package importable in Python workers that don't share the driver's path."""
+    """Makes this package importable in Python workers that don't share the driver's path,
+    and keeps Arrow batches small."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if getattr(sc, "_tidemill_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -68,6 +75,26 @@ def table(df, name: str):
     return spark.read.schema(df.schema).parquet(path)
 
 
+_heavy: dict[str, object] = {}
+
+
+def only(name: str, make):
+    """A large object of a Python worker (a model, a vocabulary), made once; a worker
+    that goes on to another operator drops the one before."""
+    if name not in _heavy:
+        _heavy.clear()
+        _heavy[name] = make()
+    return _heavy[name]
+
+
+def taken(shared):
+    """A broadcast's value, which the worker then doesn't hold any longer."""
+    value = shared.value
+    if hasattr(shared, "_value"):
+        del shared._value
+    return value
+
+
 # ---------------------------------------------------------------- hashing
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -28,27 +28,20 @@ from pyspark.sql import functions as F
 from . import arrays as A
 from . import bpe
 
-#: Made once in each worker from the file's bytes, by their digest.
-_made: dict[str, tuple] = {}
-
-
 def _vocabulary(content: bytes):
-    key = hashlib.sha256(content).hexdigest()
-    if key not in _made:
-        vocabulary, pieces = bpe.rank_file(content)
-        sizes = np.array([len(p) for p in pieces], np.int64)
-        _made.clear()
-        _made[key] = (vocabulary, np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(sizes) - sizes, sizes)
-    return _made[key]
+    vocabulary, pieces = bpe.rank_file(content)
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    return vocabulary, np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(sizes) - sizes, sizes
 
 
 def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", decode: bool = False) -> DataFrame:
     """``keep`` and ids (array<int>) of every text; with ``decode`` also
     decoded (binary), made from these ids alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(open(path, "rb").read())  # a fixed file
+    content = open(path, "rb").read()  # a fixed file
+    shared, name = docs.sparkSession.sparkContext.broadcast(content), "ranks-" + hashlib.sha256(content).hexdigest()
 
     def start():
-        vocabulary, body, at, sizes = _vocabulary(shared.value)
+        vocabulary, body, at, sizes = A.only(name, lambda: _vocabulary(shared.value))
 
         def work(column):
             ids, counts, out, n_bytes = [], [], [], []

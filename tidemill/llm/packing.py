@@ -42,7 +42,6 @@ WINDOW = 1 << 19
 STEP = 256
 #: Penalties, in tokens of padding: a document cut after a sentence, or elsewhere.
 AFTER_SENTENCE, ELSEWHERE = 8, 64
-_made: dict[str, bpe.Vocabulary] = {}
 _STOPS = np.zeros(256, bool)
 _STOPS[list(b".!?")] = True
 
@@ -129,14 +128,6 @@ def _normal(t: str) -> str:
     return t.lower()
 
 
-def _encoder(content: str) -> Encoder:
-    key = hashlib.sha256(content.encode()).hexdigest()
-    if key not in _made:
-        _made.clear()
-        _made[key] = Encoder(content)
-    return _made[key]
-
-
 class Packer:
     """Documents in, pieces out, a window at a time."""
 
@@ -183,13 +174,14 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", ma
     """One row a piece: the key, start, length, doc_tokens, sequence_id, offset
     and ids (binary: little-endian unsigned 32-bit)."""
     A.ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(open(path, encoding="utf-8").read())  # a fixed file
+    content = open(path, encoding="utf-8").read()  # a fixed file
+    shared, name = docs.sparkSession.sparkContext.broadcast(content), "merges-" + hashlib.sha256(content.encode()).hexdigest()
     columns = ["start", "length", "doc_tokens", "sequence_id", "offset"]
     src = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     schema = T.StructType([T.StructField("key", src.schema["key"].dataType), *(T.StructField(c, T.LongType()) for c in columns), T.StructField("ids", T.BinaryType())])
 
     def run(batches):
-        encoder = _encoder(shared.value)
+        encoder = A.only(name, lambda: Encoder(shared.value))
         packer = Packer(TaskContext.get().partitionId() << 40, max_len)
 
         def rows():

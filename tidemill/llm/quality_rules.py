@@ -21,6 +21,7 @@ input that clash with a result column are replaced by it.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -167,16 +168,9 @@ def _sorted(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return s[order], v[order]
 
 
-_loaded: dict[int, tuple] = {}
-
-
-def _tables(shared):
-    """A model's dense tables, once in each worker."""
-    if shared.id not in _loaded if hasattr(shared, "id") else True:
-        _loaded.clear()
-        model = shared.value
-        _loaded[getattr(shared, "id", 0)] = (*model.dense(), float(model.rest[0][1][0]) if len(model.rest[0][1]) else 1.0)
-    return _loaded[getattr(shared, "id", 0)]
+def _tables(model: Model):
+    """A model's dense tables."""
+    return (*model.dense(), float(model.rest[0][1][0]) if len(model.rest[0][1]) else 1.0)
 
 
 _TOP = np.array([(b << 32) % SLOTS for b in range(256)], np.int64)
@@ -211,11 +205,10 @@ def log_perplexity(block: A.Block, grams, rest, rest0: float) -> np.ndarray:
 
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
     """``keep``, the facts, base_failed, log_perplexity and the language's key."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    shared.id = id(shared)
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def start():
-        tables = _tables(shared)
+        tables = A.only(name, lambda: _tables(A.taken(shared)))
 
         def work(column):
             facts, ppl = [], []

@@ -121,20 +121,14 @@ def fit_models(train: DataFrame, text: str) -> dict[str, tuple[np.ndarray, ...]]
     return {"words": words, "rest": rest, "pairs": both}
 
 
-_loaded: dict[str, dict] = {}
-
-
-def _dense(shared, name: str) -> dict:
-    """A model's directly addressed tables, once in each worker."""
-    if name not in _loaded:
-        _loaded.clear()
-        out = {}
-        for kind, (slot, check, v0, v1) in shared.value.items():
-            c, x = np.zeros(SLOTS, np.int16) - 1, np.zeros((SLOTS, 2), np.float32)
-            c[slot], x[slot, 0], x[slot, 1] = check, v0, v1
-            out[kind] = c, x
-        _loaded[name] = out
-    return _loaded[name]
+def _dense(model) -> dict:
+    """A model's directly addressed tables."""
+    out = {}
+    for kind, (slot, check, v0, v1) in model.items():
+        c, x = np.zeros(SLOTS, np.int16) - 1, np.zeros((SLOTS, 2), np.float32)
+        c[slot], x[slot, 0], x[slot, 1] = check, v0, v1
+        out[kind] = c, x
+    return out
 
 
 def _find(table, keys: np.ndarray, blank: float) -> np.ndarray:
@@ -163,7 +157,7 @@ def _scored(docs: DataFrame, model, weights, keep: list[str], text: str, raw: bo
     shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def start():
-        dense = _dense(shared, name)
+        dense = A.only(name, lambda: _dense(A.taken(shared)))
 
         def work(column):
             x = np.concatenate([features(b, dense) for b in A.text_blocks(column)])
