@@ -107,7 +107,8 @@ def fit_models(train: DataFrame, text: str) -> dict[str, tuple[np.ndarray, ...]]
     d = _discount(n["n1"], n["n2"])
     often = F.col("n0") + F.col("n1") > 1
     kept = [F.sum(F.when(often, F.col(f"n{c}")).otherwise(0)).alias(f"s{c}") for c in (0, 1)]
-    context = pairs.groupBy("a").agg(*kept, F.sum(F.col("n0") + F.col("n1")).alias("weight"), F.sum(F.when(often, d).otherwise(1.0)).alias("cut"))
+    # a written table: the join below is then free to split what a common word holds
+    context = A.table(pairs.groupBy("a").agg(*kept, F.sum(F.col("n0") + F.col("n1")).alias("weight"), F.sum(F.when(often, d).otherwise(1.0)).alias("cut")), "contexts")
     rest = _slots(context.select("a", (F.col("cut") / F.col("weight")).alias("v0"), (F.col("cut") / F.col("weight")).alias("v1"), "weight"), F.col("a"))
     word = A.table(pairs.groupBy("b").agg(*[F.sum((F.col(f"n{c}") > 0).cast("long")).alias(f"t{c}") for c in (0, 1)], F.count(F.lit(1)).alias("t")), "words")
     n = word.agg(*[many(f"t{c}", k).alias(f"t{c}{k}") for c in (0, 1) for k in (1, 2)], F.sum("t").alias("all"), *[F.sum(f"t{c}").alias(f"s{c}") for c in (0, 1)], *[F.sum((F.col(f"t{c}") > 0).cast("long")).alias(f"k{c}") for c in (0, 1)]).first()
