@@ -298,6 +298,7 @@ def cut(docs: DataFrame, keep: list[str], text: str = "text", length: int = LENG
     """``keep``, n_bytes, n_removed, n_spans and kept (binary) of every row.  With
     ``whole_characters`` a character stays unless all of its bytes are repeated,
     so that what is kept is text."""
+    keep = [c for c in keep if c.lower() not in ("n_bytes", "n_removed", "n_spans", "kept")]  # results replace them
     _, covered = spans_of(docs, text, length)
     covered = A.table(covered, "spans")
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
