@@ -54,6 +54,53 @@ def test_perplexity_is_a_distribution_and_bands_reject(spark, edge):
     more = edge.select("doc_id", "text", "lang").union(spark.createDataFrame([(999, junk, "en")], "doc_id long, text string, lang string"))
     assert not quality_rules.judge(more, ["doc_id"]).filter("doc_id = 999").first()["kept"]
 
+def byte_model(texts, order):
+    """Interpolated modified Kneser-Ney over bytes, by the book: a function of n bytes to the last one's probability."""
+    norm = [bytes(quality_rules._NORMAL[np.frombuffer(t.encode(), np.uint8)]) for t in texts]
+    counts = {order: Counter(t[i : i + order] for t in norm for i in range(len(t) - order + 1))}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    cuts, total, freed = {}, {}, {}
+    for n, level in counts.items():
+        n1, n2, n3, n4 = (sum(c == k for c in level.values()) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        cuts[n] = [min(max(d, 0.05), k - 0.05) for k, d in ((1, 1 - 2 * y * n2 / max(n1, 1)), (2, 2 - 3 * y * n3 / max(n2, 1)), (3, 3 - 4 * y * n4 / max(n3, 1)))]
+        total[n], freed[n] = Counter(), Counter()
+        for g, c in level.items():
+            total[n][g[:-1]] += c
+            freed[n][g[:-1]] += cuts[n][min(c, 3) - 1]
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        n, c = len(g), counts[len(g)].get(g, 0)
+        if not total[n][g[:-1]]:
+            return p(g[1:])
+        return (c and c - cuts[n][min(c, 3) - 1]) / total[n][g[:-1]] + freed[n][g[:-1]] / total[n][g[:-1]] * p(g[1:])
+
+    return norm, p
+
+@pytest.mark.parametrize("piece_rows", [None, 3000])
+def test_perplexity_is_that_of_full_keys(spark, monkeypatch, piece_rows):
+    rng = np.random.default_rng(7)
+    texts = ["".join(map(chr, 97 + rng.integers(0, 26, 600))) for _ in range(60)] + ["abc def" * 30, "abcd", ""]
+    if piece_rows:  # a model of several key ranges
+        monkeypatch.setattr(quality_rules.A, "PIECE_ROWS", piece_rows)
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    model = quality_rules.fit(docs)
+    got = {r["doc_id"]: r["log_perplexity"] for r in quality_rules.score(docs, model, ["doc_id"]).collect()}
+    norm, p = byte_model(texts, quality_rules.ORDER)
+    mean = lambda t: -sum(np.log(p(t[i - 4 : i + 1])) for i in range(4, len(t))) / (len(t) - 4)
+    for i, t in enumerate(norm):
+        assert got[i] is None if len(t) < 5 else got[i] == pytest.approx(mean(t), rel=1e-6), i
+    # n-grams that weren't counted back off; none answers for another
+    other = ["".join(map(chr, 97 + rng.integers(0, 26, 400))), "ABC dEf\x00\xff zzzzz"]
+    more = spark.createDataFrame([(i, t, "en") for i, t in enumerate(other)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["log_perplexity"] for r in quality_rules.score(more, model, ["doc_id"]).collect()}
+    for i, t in enumerate(other):
+        t = bytes(quality_rules._NORMAL[np.frombuffer(t.encode(), np.uint8)])
+        assert got[i] == pytest.approx(mean(t), rel=1e-6)
+
 def test_byte_bpe_matches_the_library(edge, texts):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}

@@ -95,6 +95,72 @@ def taken(shared):
     return value
 
 
+#: Rows of one piece of a table that workers look up: a worker's memory follows this, not the table.
+PIECE_ROWS = 4_000_000
+
+
+class Pieces:
+    """A table of distinct 64-bit keys and values as broadcasts of sorted arrays, each of a range of
+    keys.  A table of one piece stays in the worker, with the others of its ``owner``; of several,
+    the worker loads one after another."""
+
+    def __init__(self, owner: str, shared: list[tuple]) -> None:
+        self.owner, self.shared, self.name = owner, shared, uuid.uuid4().hex
+
+    @classmethod
+    def of(cls, owner: str, df, bits: int = 64, key: str = "key", values: tuple[str, ...] = ("v",)) -> Pieces:
+        """All rows of df, whose keys have ``bits`` bits, in ranges of about PIECE_ROWS of them."""
+        from pyspark.sql import functions as F
+
+        step = max(bits - 16, 0)
+        n, ranges = df.count() if bits > 16 else 0, [(-(1 << 63), (1 << 63) - 1)]
+        if n > PIECE_ROWS:
+            df = table(df, "pieces")  # read once for each range
+            held, cuts = 0, []
+            for b, m in sorted(tuple(r) for r in df.groupBy(F.shiftright(key, step).alias("b")).count().toLocalIterator()):
+                if held and held + m > PIECE_ROWS:
+                    cuts.append(b << step)
+                    held = 0
+                held += m
+            edges = [ranges[0][0], *cuts, 1 << 63]
+            ranges = [(lo, hi - 1) for lo, hi in zip(edges, edges[1:])]
+        shared = []
+        for lo, hi in ranges:
+            t = (df if len(ranges) == 1 else df.filter(F.col(key).between(lo, hi))).select(F.col(key).cast("long"), *[F.col(v).cast("float") for v in values]).toArrow()
+            k, *v = (t.column(i).to_numpy() for i in range(1 + len(values)))
+            order = np.argsort(k)
+            shared.append((lo, hi, df.sparkSession.sparkContext.broadcast((k[order], np.stack([x[order] for x in v], 1)))))
+        return cls(owner, shared)
+
+    @property
+    def many(self) -> bool:
+        return len(self.shared) > 1
+
+    def find(self, keys: list[np.ndarray], blank: float) -> list[np.ndarray]:
+        """The values of each array of keys (signed), ``blank`` where the table hasn't a key;
+        one number a key if the table has one column of values."""
+        out = None
+        for lo, hi, shared in self.shared:
+            if self.many:
+                have, values = taken(shared)
+            else:
+                held = only(self.owner, dict)
+                if self.name not in held:
+                    held[self.name] = taken(shared)
+                have, values = held[self.name]
+            out = out or [np.full((len(k), values.shape[1]), blank, np.float32) for k in keys]
+            if not len(have):
+                continue
+            for k, o in zip(keys, out):
+                own = np.flatnonzero((k >= lo) & (k <= hi)) if self.many else slice(None)
+                k = k[own]
+                at = np.searchsorted(have, k)
+                at[at == len(have)] = 0
+                hit = have[at] == k
+                o[own[hit] if self.many else hit] = values[at[hit]]
+        return [o[:, 0] if o.shape[1] == 1 else o for o in out]
+
+
 # ---------------------------------------------------------------- hashing
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -259,12 +325,29 @@ def binary_rows(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 # ---------------------------------------------------------------- Spark
 
-def append_columns(df, text: str, keep: list[str], fields: list[tuple[str, str]], start, extra: tuple[str, ...] = ()):
+def grouped(batches, size: int):
+    """Batches put together until they hold ``size`` bytes."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.nbytes
+        if n >= size:
+            yield from joined(held)
+            held, n = [], 0
+    yield from joined(held)
+
+
+def joined(batches: list[pa.RecordBatch]):
+    return batches if len(batches) < 2 else pa.Table.from_batches(batches).combine_chunks().to_batches()
+
+
+def append_columns(df, text: str, keep: list[str], fields: list[tuple[str, str]], start, extra: tuple[str, ...] = (), group: int = 0):
     """``keep`` and new columns computed from the texts, batch by batch.
 
     ``start()`` runs once in each task and returns a function from (text array,
     extra arrays) to the new arrays.  A new column replaces one of ``keep`` with
-    the same name in any case.
+    the same name in any case.  With ``group`` the function gets batches of about
+    so many bytes together.
     """
     from pyspark.sql import functions as F
     from pyspark.sql import types as T
@@ -282,9 +365,11 @@ def append_columns(df, text: str, keep: list[str], fields: list[tuple[str, str]]
 
     def run(batches):
         work = start()
-        for b in batches:
+        for b in grouped(batches, group):
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), *work(b.column(ti), *(b.column(i) for i in ex))], names=names)
+                made = pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), *work(b.column(ti), *(b.column(i) for i in ex))], names=names)
+                for i in range(0, made.num_rows, BATCH_ROWS if group else made.num_rows):
+                    yield made.slice(i, BATCH_ROWS) if group else made
 
     out = src.mapInArrow(run, made)
     return out.select(*[F.col(f"c{at[c]}").alias(c) for c in keep], *[F.col(f"n{i}").alias(n) for i, (n, _) in enumerate(fields)])

@@ -3,10 +3,10 @@
 The model is an interpolated modified Kneser-Ney model of ``ORDER`` bytes (A-Z
 lower-cased, white space as a space).  Workers count the n-grams of their
 texts, Spark adds the counts over all documents and derives every lower order,
-discounts and context masses; the result is stored as sorted hash arrays of at
-most ``SLOTS`` entries an order, which is the proven bound of what is
-broadcast.  A byte's n-grams of up to two bytes have a slot each; longer ones
-share ``SLOTS`` slots (the larger value wins).
+discounts, context masses and interpolated probabilities.  Every n-gram is kept
+under all of its bytes, so the model grows with the corpus and none is dropped
+or answered by another's value.  It reaches the workers as sorted arrays in key
+ranges (``arrays.Pieces``), of which a worker holds one at a time.
 
 Each language has its own band of log-perplexities, from quartiles over all of
 its documents that pass the countable rules: ``q1 - SPAN * (q3 - q1)`` to
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from . import arrays as A
 
 ORDER = 5
-#: A prime below 2**21: the slots of an order of more than two bytes.
-SLOTS = 2_097_143
+#: Bytes that go through all pieces of a large model at a time.
+GROUP_BYTES = 4 << 20
 #: Interquartile ranges on either side of the quartiles.
 SPAN = 3.0
 MIN_WORDS = 50
@@ -99,10 +99,6 @@ def packed(block: A.Block) -> tuple[np.ndarray, np.ndarray]:
     return keys, ok
 
 
-def n_slots(order: int) -> int:
-    return 256**order if order <= 2 else SLOTS
-
-
 def count_grams(docs: DataFrame, text: str = "text") -> DataFrame:
     """(gram, n): all n-grams of ORDER bytes of all texts and their counts."""
     A.ship(docs.sparkSession)
@@ -123,104 +119,108 @@ def count_grams(docs: DataFrame, text: str = "text") -> DataFrame:
 
 @dataclass
 class Model:
-    """For each order its sorted slots and values: the discounted share of an
-    n-gram in its context, and of a context the mass it leaves to the next order."""
+    """For each order the interpolated probability of every n-gram counted, and for
+    each context length the mass a context leaves to the next order: tables (key, v)
+    in Spark; ``rest[0]`` is the key and mass of the empty context."""
 
-    grams: dict[int, tuple[np.ndarray, np.ndarray]]
-    rest: dict[int, tuple[np.ndarray, np.ndarray]]
+    grams: dict[int, DataFrame]
+    rest: dict[int, DataFrame | tuple[np.ndarray, np.ndarray]]
 
-    def dense(self):
-        spread = lambda n, sv, blank: _spread(n_slots(n), *sv, blank)
-        return {n: spread(n, v, 0.0) for n, v in self.grams.items()}, {n: spread(n, v, 1.0) for n, v in self.rest.items() if n}
+    def pieces(self) -> tuple[dict[int, A.Pieces], dict[int, A.Pieces]]:
+        owner = uuid.uuid4().hex
+        of = lambda tables: {n: A.Pieces.of(owner, t, 8 * n) for n, t in tables.items() if n}
+        return of(self.grams), of(self.rest)
 
-
-def _spread(size: int, slots: np.ndarray, values: np.ndarray, blank: float) -> np.ndarray:
-    out = np.full(size, blank, np.float32)
-    out[slots] = values
-    return out
+    dense = pieces
 
 
 def fit(docs: DataFrame, text: str = "text") -> Model:
-    """Counts in Spark; the driver gets at most SLOTS rows an order."""
-    top = A.table(count_grams(docs, text), "grams")
-    grams, rest, level = {}, {}, top
-    for n in range(ORDER, 0, -1):
+    """Counts, discounts and probabilities of every order in Spark; the driver gets sums only."""
+    level = A.table(count_grams(docs, text), "grams")
+    levels = {ORDER: level}
+    for n in range(ORDER - 1, 0, -1):
+        level = A.table(level.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * n)) - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "grams")
+        levels[n] = level
+    grams, rest, lower = {}, {}, None
+    for n in range(1, ORDER + 1):
+        level = levels[n]
         many = level.agg(*[F.sum((F.col("n") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
         n1, n2, n3, n4 = (float(x or 0) for x in many)
         y = n1 / (n1 + 2 * n2) if n1 else 0.5
         cut = [min(max(d, 0.05), k - 0.05) for k, d in ((1, 1 - 2 * y * n2 / max(n1, 1)), (2, 2 - 3 * y * n3 / max(n2, 1)), (3, 3 - 4 * y * n4 / max(n3, 1)))]
         d = F.when(F.col("n") == 1, cut[0]).when(F.col("n") == 2, cut[1]).otherwise(cut[2])
-        ctx = F.shiftright("gram", 8)
-        # at most 256 n-grams share a context
-        total = F.sum("n").over(Window.partitionBy(ctx)).cast("double")
-        fold = lambda c, k: (c if k <= 2 else F.pmod(c, F.lit(SLOTS))).cast("int")
-        grams[n] = _sorted(level.select(fold(F.col("gram"), n).alias("slot"), ((F.col("n") - d) / total).alias("v")).groupBy("slot").agg(F.max("v").cast("float").alias("v")))
-        left = level.groupBy(ctx.alias("ctx")).agg((F.sum(d) / F.sum("n")).alias("v"))
-        rest[n - 1] = _sorted(left.select(fold(F.col("ctx"), n - 1).alias("slot"), "v").groupBy("slot").agg(F.max("v").cast("float").alias("v")))
-        level = level.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * (n - 1))) - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        # at most 256 n-grams share a context, and as many a lower n-gram; whole numbers are summed, so that no order of rows shows
+        by = Window.partitionBy("ctx")
+        of = [F.sum(hit.cast("long")).over(by) * c for hit, c in zip((F.col("n") == 1, F.col("n") == 2, F.col("n") > 2), cut)]
+        held = level.withColumn("ctx", F.shiftright("gram", 8)).withColumns({"total": F.sum("n").over(by).cast("double"), "freed": of[0] + of[1] + of[2]})
+        held = held.select("gram", "ctx", ((F.col("n") - d) / F.col("total")).alias("own"), (F.col("freed") / F.col("total")).alias("left"))
+        if lower is None:
+            p = held.withColumn("v", F.col("own") + F.col("left") / 256)
+        else:
+            suffix = F.col("gram").bitwiseAND(F.lit((1 << (8 * (n - 1))) - 1))
+            p = held.withColumn("suffix", suffix).join(lower.select(F.col("key").alias("suffix"), F.col("v").alias("less")), "suffix").withColumn("v", F.col("own") + F.col("left") * F.col("less"))
+        p = A.table(p.select(F.col("gram").alias("key"), "ctx", "left", "v"), "probabilities")
+        grams[n] = lower = p.select("key", "v")
+        rest[n - 1] = p.groupBy(F.col("ctx").alias("key")).agg(F.max("left").alias("v"))
+    none = rest[0].first()
+    rest[0] = np.zeros(1, np.int64), np.array([1.0 if none is None else none["v"]])
     return Model(grams, rest)
 
 
-def _sorted(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    t = df.toArrow()
-    s, v = t.column("slot").to_numpy().astype(np.uint32), t.column("v").to_numpy().astype(np.float32)
-    order = np.argsort(s)
-    return s[order], v[order]
-
-
-def _tables(model: Model):
-    """A model's dense tables."""
-    return (*model.dense(), float(model.rest[0][1][0]) if len(model.rest[0][1]) else 1.0)
-
-
-_TOP = np.array([(b << 32) % SLOTS for b in range(256)], np.int64)
-_NEXT = np.array([(b << 24) % SLOTS for b in range(256)], np.int64)
+def log_perplexities(blocks: list[A.Block], grams, rest, rest0: float) -> list[np.ndarray]:
+    """Mean negative log-probability a byte of each block's texts; NaN for under ORDER bytes."""
+    keys, logs, open_, share = [], [], [], []
+    for b in blocks:
+        k, ok = packed(b)
+        at = np.flatnonzero(ok)
+        keys.append(k[at].view(np.int64))
+        logs.append(np.zeros(len(k)))
+        open_.append(at)
+        share.append(np.ones(len(at)))
+    # an n-gram that wasn't counted gets what its context leaves of the n-gram a byte shorter
+    for n in range(ORDER, 0, -1):
+        if not any(map(len, keys)):
+            break
+        for i, p in enumerate(grams[n].find(keys, 0.0)):
+            hit = p > 0
+            logs[i][open_[i][hit]] = np.log(share[i][hit] * p[hit])
+            keys[i], open_[i], share[i] = keys[i][~hit], open_[i][~hit], share[i][~hit]
+        if n > 1:
+            masses = rest[n - 1].find([k >> 8 for k in keys], 1.0)
+            share = [s * m for s, m in zip(share, masses)]
+            keys = [k & ((1 << (8 * (n - 1))) - 1) for k in keys]
+    out = []
+    for b, v, at, s in zip(blocks, logs, open_, share):
+        v[at] = np.log(s * rest0 / 256)
+        # the n-gram at byte i judges byte i + ORDER - 1
+        n = np.maximum(b.sizes - ORDER + 1, 0)
+        total = np.r_[0.0, np.cumsum(v)]
+        first = np.minimum(b.offsets[:-1], len(v))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out.append(np.where(n > 0, (total[first] - total[np.minimum(first + n, len(v))]) / n, np.nan))
+    return out
 
 
 def log_perplexity(block: A.Block, grams, rest, rest0: float) -> np.ndarray:
-    """Mean negative log-probability a byte of each text; NaN for under ORDER bytes."""
-    d = _NORMAL[block.data]
-    n = np.maximum(block.sizes - ORDER + 1, 0)
-    if not n.sum():
-        return np.full(len(block), np.nan)
-    # slots of the n-grams that end at byte i + ORDER - 1; a context is the n-gram a byte earlier
-    two = (d[:-1].astype(np.int64) << 8) | d[1:]
-    three = ((d[:-2].astype(np.uint32) << 16) | two[1:].astype(np.uint32)) % np.uint32(SLOTS)
-    four = _NEXT[d[:-3]] + three[1:]
-    four -= SLOTS * (four >= SLOTS)
-    five = _TOP[d[:-4]] + four[1:]
-    five -= SLOTS * (five >= SLOTS)
-    last = d[4:]
-    p = grams[1][last] + np.float32(rest0 / 256)
-    for at, before, k in ((two[3:], d[3:-1], 2), (three[2:], two[2:-1], 3), (four[1:], three[1:-1], 4), (five, four[:-1], 5)):
-        p *= rest[k - 1][before]
-        p += grams[k][at]
-    logs = np.zeros(len(d) + 1, np.float64)
-    np.cumsum(np.log(p), out=logs[ORDER:], dtype=np.float64)
-    # bytes ORDER-1.. of each text are judged
-    first, end = block.offsets[:-1] + ORDER - 1, block.offsets[1:]
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return np.where(n > 0, (logs[np.minimum(first, len(d))] - logs[end]) / n, np.nan)
+    return log_perplexities([block], grams, rest, rest0)[0]
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
     """``keep``, the facts, base_failed, log_perplexity and the language's key."""
-    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    (grams, rest), rest0 = model.pieces(), float(model.rest[0][1][0])
 
     def start():
-        tables = A.only(name, lambda: _tables(A.taken(shared)))
-
         def work(column):
-            facts, ppl = [], []
-            for block in A.text_blocks(column):
-                facts.append(facts_of(block))
-                ppl.append(log_perplexity(block, *tables))
-            v = np.concatenate(ppl)
+            blocks = list(A.text_blocks(column))
+            facts = [facts_of(b) for b in blocks]
+            # a model of several pieces goes over all blocks once, or else each block on its own needs less memory
+            parts = [blocks] if grams[ORDER].many else [[b] for b in blocks]
+            v = np.concatenate([x for p in parts for x in log_perplexities(p, grams, rest, rest0)])
             return [*(pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*facts)), pa.array(v, mask=np.isnan(v))]
 
         return work
 
-    got = A.append_columns(docs, text, list(dict.fromkeys([*keep, lang])), [*FACTS, ("log_perplexity", "double")], start)
+    got = A.append_columns(docs, text, list(dict.fromkeys([*keep, lang])), [*FACTS, ("log_perplexity", "double")], start, group=GROUP_BYTES if grams[ORDER].many else 0)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return got.withColumn("base_failed", failed)
 
