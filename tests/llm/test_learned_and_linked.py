@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -44,6 +45,62 @@ def test_toxicity_held_out(spark, edge):
     assert toxicity.score(edge.limit(0), labels, ["doc_id"]).count() == 0
 
 
+def word_models(rows):
+    """The toxicity model of (text, label) by the book: a function of a text to its log-ratio a word."""
+    n = [Counter(), Counter()]
+    for t, y in rows:
+        w = ["", *t.split()]
+        n[y].update(zip(w, w[1:]))
+    both = n[0] + n[1]
+    share = lambda c: min(max(sum(v == 1 for v in c.values()) / (sum(v == 1 for v in c.values()) + 2 * sum(v == 2 for v in c.values())), 0.1), 0.95)
+    d, s = share(both), toxicity.SHARED
+    t = [Counter(b for _, b in c) for c in (*n, both)]
+    u = [share(c) for c in t[:2]]
+    spare = [sum(c.values()) - u[i] * len(c) for i, c in enumerate(t[:2])]
+    weight, cut, often = Counter(), Counter(), [Counter(), Counter()]
+    for (a, b), v in both.items():
+        weight[a] += v
+        cut[a] += d if v > 1 else 1
+        for c in (0, 1):
+            often[c][a] += n[c][a, b] * (v > 1)
+
+    def p(a, b, c):
+        low = (1 - s) * max(t[c][b] - u[c], 0) / spare[c] + s * t[2][b] / sum(t[2].values())
+        if not weight[a]:
+            return low
+        rest, q = cut[a] / weight[a], 0
+        if both[a, b] > 1:
+            pool = both[a, b] / (often[0][a] + often[1][a])
+            q = (1 - s) * (n[c][a, b] / often[c][a] if often[c][a] else pool) + s * pool
+        return (1 - rest) * q + rest * low
+
+    def ratios(text):
+        w = ["", *text.split()]
+        return np.array([np.log(p(a, b, 1) / p(a, b, 0)) if t[2][b] else 0.0 for a, b in zip(w, w[1:])])
+
+    return ratios
+
+
+@pytest.mark.parametrize("piece_rows", [None, 2000])
+def test_toxicity_models_keep_every_word(spark, monkeypatch, piece_rows):
+    rng = random.Random(11)
+    names = [f"w{i}" for i in range(9000)]
+    rows = [(i, " ".join(rng.choice(names) for _ in range(60)), int(i % 3 == 0)) for i in range(300)]
+    rows += [(300 + i, t + " " + t, y) for i, (_, t, y) in enumerate(rows[:200])]  # pairs seen twice or more
+    if piece_rows:  # models of several key ranges
+        monkeypatch.setattr(toxicity.A, "PIECE_ROWS", piece_rows)
+    train = spark.createDataFrame(rows, "doc_id long, text string, y int").repartition(3)
+    model = toxicity.fit_models(train, "text")
+    other = [(900, "unknown w1 w2 unknown w3", 0), (901, "", 0)]
+    docs = train.union(spark.createDataFrame(other, "doc_id long, text string, y int"))
+    got = {r["doc_id"]: r["features"] for r in toxicity._scored(docs, model, None, ["doc_id"], "text", True).collect()}
+    ratios = word_models([(t, y) for _, t, y in rows])
+    for i, t, _ in rows + other:
+        r = ratios(t)
+        want = [r.mean(), np.maximum(r - toxicity.EXCESS, 0).mean(), (r > toxicity.EXCESS).mean()] if len(r) else [0, 0, 0]
+        assert got[i][:3] == pytest.approx(want, rel=1e-4, abs=1e-5), i
+
+
 def test_quality_held_out(spark, edge):
     docs, labels = labelled_corpus(spark)
     got = quality_classifier.score(docs, labels).collect()

@@ -19,9 +19,10 @@ and the length, fitted on at most ``CALIBRATION_ROWS`` labelled texts whose
 counts aren't in the models, turns them into a score.
 
 Counting, discounts and context masses are Spark aggregations over all labelled
-texts.  The models are kept in tables of ``SLOTS`` slots, each with an eight-bit
-check, in which the most frequent key of a slot stays: that is the proven bound
-of what is broadcast.
+texts.  All words, contexts and pairs (seen twice or more) are kept under their
+full 64-bit hashes, so the models grow with the labelled texts.  They reach the
+workers as sorted arrays in key ranges (``arrays.Pieces``), of which a worker
+holds one of each table at a time.
 
 Defined results: a null text counts as empty; a text without words has the
 ratios 0; labels that are null or not 0 or 1 are ignored, of several for a key
@@ -31,6 +32,8 @@ share; repeated rows get equal scores; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,7 +41,8 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 
-SLOTS = 2_097_143
+#: Bytes that go through all pieces of large models at a time.
+GROUP_BYTES = 16 << 20
 SHARED = 0.5
 EXCESS = 1.5
 CALIBRATION_ROWS = 50_000
@@ -92,15 +96,9 @@ def _discount(ones, twos) -> float:
     return min(max(ones / (ones + 2 * twos), 0.1), 0.95) if ones else 0.5
 
 
-def _slots(df: DataFrame, key: Column) -> tuple[np.ndarray, ...]:
-    """slot, check, v0 and v1 of df's v0 and v1, the row of most weight in each slot."""
-    kept = df.select(F.pmod(key, F.lit(SLOTS)).cast("int").alias("slot"), F.struct("weight", F.shiftrightunsigned(key, 48).bitwiseAND(F.lit(255)).cast("int").alias("check"), F.col("v0").cast("float").alias("v0"), F.col("v1").cast("float").alias("v1")).alias("r")).groupBy("slot").agg(F.max("r").alias("r")).select("slot", "r.check", "r.v0", "r.v1").toArrow()
-    slot, check, v0, v1 = (kept.column(c).to_numpy() for c in ("slot", "check", "v0", "v1"))
-    return slot.astype(np.int32), check.astype(np.uint8), v0.astype(np.float32), v1.astype(np.float32)
-
-
-def fit_models(train: DataFrame, text: str) -> dict[str, tuple[np.ndarray, ...]]:
-    """The word, context and pair tables, at most SLOTS rows each."""
+def fit_models(train: DataFrame, text: str) -> dict[str, A.Pieces]:
+    """The word, context and pair tables, whole."""
+    owner = uuid.uuid4().hex
     pairs = A.table(count_pairs(train, text), "pairs")
     many = lambda c, k: F.sum((F.expr(c) == k).cast("long"))
     n = pairs.agg(many("n0 + n1", 1).alias("n1"), many("n0 + n1", 2).alias("n2")).first()
@@ -109,66 +107,52 @@ def fit_models(train: DataFrame, text: str) -> dict[str, tuple[np.ndarray, ...]]
     kept = [F.sum(F.when(often, F.col(f"n{c}")).otherwise(0)).alias(f"s{c}") for c in (0, 1)]
     # a written table: the join below is then free to split what a common word holds
     context = A.table(pairs.groupBy("a").agg(*kept, F.sum(F.col("n0") + F.col("n1")).alias("weight"), F.sum(F.when(often, d).otherwise(1.0)).alias("cut")), "contexts")
-    rest = _slots(context.select("a", (F.col("cut") / F.col("weight")).alias("v0"), (F.col("cut") / F.col("weight")).alias("v1"), "weight"), F.col("a"))
+    # a context that leaves everything is as one that isn't there
+    rest = A.Pieces.of(owner, context.filter("s0 + s1 > 0").select(F.col("a").alias("key"), (F.col("cut") / F.col("weight")).alias("v")))
     word = A.table(pairs.groupBy("b").agg(*[F.sum((F.col(f"n{c}") > 0).cast("long")).alias(f"t{c}") for c in (0, 1)], F.count(F.lit(1)).alias("t")), "words")
     n = word.agg(*[many(f"t{c}", k).alias(f"t{c}{k}") for c in (0, 1) for k in (1, 2)], F.sum("t").alias("all"), *[F.sum(f"t{c}").alias(f"s{c}") for c in (0, 1)], *[F.sum((F.col(f"t{c}") > 0).cast("long")).alias(f"k{c}") for c in (0, 1)]).first()
     u = [_discount(n[f"t{c}1"], n[f"t{c}2"]) for c in (0, 1)]
     own = [F.greatest(F.col(f"t{c}") - u[c], F.lit(0.0)) / max((n[f"s{c}"] or 0) - u[c] * (n[f"k{c}"] or 0), 1e-9) for c in (0, 1)]
-    words = _slots(word.select("b", *[((1 - SHARED) * own[c] + SHARED * F.col("t") / max(n["all"] or 0, 1)).alias(f"v{c}") for c in (0, 1)], F.col("t").alias("weight")), F.col("b"))
+    words = A.Pieces.of(owner, word.select(F.col("b").alias("key"), *[((1 - SHARED) * own[c] + SHARED * F.col("t") / max(n["all"] or 0, 1)).alias(f"v{c}") for c in (0, 1)]), values=("v0", "v1"))
     seen = pairs.filter(often).join(context, "a").withColumn("n", F.col("n0") + F.col("n1"))
     pool = F.col("n") / (F.col("s0") + F.col("s1"))
     alpha = [((1 - F.col("cut") / F.col("weight")) * ((1 - SHARED) * F.when(F.col(f"s{c}") > 0, F.col(f"n{c}") / F.col(f"s{c}")).otherwise(pool) + SHARED * pool)).alias(f"v{c}") for c in (0, 1)]
-    both = _slots(seen.select("a", "b", *alpha, F.col("n").alias("weight")), _pair_column("a", "b"))
+    both = A.Pieces.of(owner, A.table(seen.select(_pair_column("a", "b").alias("key"), *alpha), "seen"), values=("v0", "v1"))
     return {"words": words, "rest": rest, "pairs": both}
 
 
-def _dense(model) -> dict:
-    """A model's directly addressed tables."""
-    out = {}
-    for kind, (slot, check, v0, v1) in model.items():
-        c, x = np.zeros(SLOTS, np.int16) - 1, np.zeros((SLOTS, 2), np.float32)
-        c[slot], x[slot, 0], x[slot, 1] = check, v0, v1
-        out[kind] = c, x
-    return out
-
-
-def _find(table, keys: np.ndarray, blank: float) -> np.ndarray:
-    check, values = table
-    slot = np.mod(keys.view(np.int64), SLOTS)
-    out = values[slot]
-    out[check[slot] != ((keys >> np.uint64(48)) & np.uint64(255)).astype(np.int16)] = blank
-    return out
-
-
-def features(block: A.Block, model: dict) -> np.ndarray:
+def features(blocks: list[A.Block], model: dict[str, A.Pieces]) -> np.ndarray:
     """Mean log-ratio, mean excess, share of exceeding words, log length of each text."""
-    a, b, bounds = _tokens(block)
-    n = np.maximum(np.diff(bounds), 1)
-    p = _find(model["words"], b, 0)
-    known = p[:, 0] > 0
-    p = p * _find(model["rest"], a, 1) + _find(model["pairs"], _pair(a, b), 0)
-    ratio = np.where(known, np.log(np.maximum(p[:, 1], 1e-12)) - np.log(np.maximum(p[:, 0], 1e-12)), 0.0).astype(np.float64)
-    over = np.maximum(ratio - EXCESS, 0)
-    return np.stack([A.sum_by(ratio, bounds) / n, A.sum_by(over, bounds) / n, A.sum_by((over > 0).astype(np.float64), bounds) / n, np.log1p(np.diff(bounds))], 1)
+    tokens = [_tokens(b) for b in blocks]
+    signed = lambda keys: [k.view(np.int64) for k in keys]
+    word = model["words"].find(signed(b for _, b, _ in tokens), 0)
+    left = model["rest"].find(signed(a for a, _, _ in tokens), 1)
+    pairs = model["pairs"].find(signed(_pair(a, b) for a, b, _ in tokens), 0)
+    out = []
+    for (_, _, bounds), p, r, q in zip(tokens, word, left, pairs):
+        n = np.maximum(np.diff(bounds), 1)
+        known = p[:, 0] > 0
+        p = p * r[:, None] + q
+        ratio = np.where(known, np.log(np.maximum(p[:, 1], 1e-12)) - np.log(np.maximum(p[:, 0], 1e-12)), 0.0).astype(np.float64)
+        over = np.maximum(ratio - EXCESS, 0)
+        out.append(np.stack([A.sum_by(ratio, bounds) / n, A.sum_by(over, bounds) / n, A.sum_by((over > 0).astype(np.float64), bounds) / n, np.log1p(np.diff(bounds))], 1))
+    return np.concatenate(out)
 
 
 def _scored(docs: DataFrame, model, weights, keep: list[str], text: str, raw: bool) -> DataFrame:
-    import uuid
-
-    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    many = any(t.many for t in model.values())
 
     def start():
-        dense = A.only(name, lambda: _dense(A.taken(shared)))
-
         def work(column):
-            x = np.concatenate([features(b, dense) for b in A.text_blocks(column)])
+            blocks = list(A.text_blocks(column))
+            x = features(blocks, model) if many else np.concatenate([features([b], model) for b in blocks])
             if raw:
                 return [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), FEATURES).cast(pa.list_(pa.float64()))]
             return [pa.array(1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30))))]
 
         return work
 
-    return A.append_columns(docs, text, keep, [("features", "array<double>") if raw else ("score", "double")], start)
+    return A.append_columns(docs, text, keep, [("features", "array<double>") if raw else ("score", "double")], start, group=GROUP_BYTES if many else 0)
 
 
 def score(docs: DataFrame, labels: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
