@@ -12,8 +12,9 @@ and read again.  All but the last return the columns of documents.
   at two places or more from all of them (whole characters only); a document of which nothing is left stays, empty.
 - packing cuts the token streams into sequences of at most 2048 tokens.
 
-ORACLE_SQL is None: SQL can express neither the learnt models nor the packing;
-the tests hold each stage against a brute-force version.
+ORACLE_SQL is None: SQL can express neither the learnt models nor the packing.
+The tests hold the operators but not the stages against brute force; of the
+stages they check columns, types and that rows remain.
 """
 
 from __future__ import annotations
