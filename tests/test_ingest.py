@@ -27,7 +27,7 @@ def lines(path, rows):
 
 def errors(spark, *raw):
     df = spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "i int, raw string")
-    return [r["e"] for r in df.select("i", contract.contract_errors(F.col("raw")).alias("e")).orderBy("i").collect()]
+    return [r["e"] for r in contract.checked(df).select("i", F.col("errors").alias("e")).orderBy("i").collect()]
 
 
 def test_generated_events_are_valid_and_deterministic(spark, events):

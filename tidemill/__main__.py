@@ -40,7 +40,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.stage == "validate":
         from .functions import contract
 
-        bad = transactions.jsonl(spark, a.input).select("line_no", contract.contract_errors(F.col("raw")).alias("errors")).filter(F.size("errors") > 0)
+        bad = contract.checked(transactions.jsonl(spark, a.input)).select("line_no", "errors").filter(F.size("errors") > 0)
         bad.show(20, truncate=False)
         return 2 if bad.limit(1).count() else 0
     elif a.stage == "ingest":

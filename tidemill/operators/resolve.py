@@ -15,11 +15,12 @@ def dedup_events(df: DataFrame, order: list[Column | str], key: str = "event_id"
 
 
 def classify_batch(lines: DataFrame) -> DataFrame:
-    """Lines (line_no, raw) with event_id, payload_sha256, errors and status.
+    """Lines (line_no, raw) with event_id, event_date, payload_sha256, errors and status.
 
     The first *valid* row of an id is its candidate; later ones are duplicates or,
     with another payload, conflicts.  Invalid rows claim no id."""
-    rows = lines.withColumns({"errors": contract.contract_errors(F.col("raw")), "event_id": contract.text_field(F.col("raw"), "event_id"), "payload_sha256": contract.payload_digest(F.col("raw"))})
+    day = F.to_date(contract.value("event_time").try_cast("timestamp")).cast("string")
+    rows = contract.parsed(lines).withColumns({"errors": contract.contract_errors(), "event_id": contract.value("event_id"), "event_date": day, "payload_sha256": contract.payload_digest()}).drop("event")
     rows = rows.withColumn("valid", F.size("errors") == 0)
     # invalid rows are spread by line, so that one id can't gather them
     group = F.when(F.col("valid"), F.col("event_id")).otherwise(F.concat(F.lit("\u0000"), F.col("line_no").cast("string")))

@@ -40,8 +40,8 @@ class Stats:
 
 
 def typed(rows: DataFrame, run_id: str) -> DataFrame:
-    fields = [contract.text_field(F.col("raw"), f.name, "double" if f.name == "amount" else "string").cast(f.dataType).alias(f.name) for f in TRANSACTION]
-    out = rows.select(*fields, "payload_sha256", F.lit(run_id).alias("ingestion_run_id"))
+    fields = [contract.value(f.name).cast(f.dataType).alias(f.name) for f in TRANSACTION]
+    out = contract.parsed(rows).select(*fields, "payload_sha256", F.lit(run_id).alias("ingestion_run_id"))
     return out.withColumn("event_date", F.to_date("event_time"))
 
 
@@ -57,8 +57,7 @@ def ingest(spark: SparkSession, path: str, root: str) -> Stats:
     try:
         n = run_counters(batch).first()
         chosen = batch.filter("status = 'candidate'")
-        day = F.to_date(contract.text_field(F.col("raw"), "event_time").cast("timestamp")).cast("string")
-        held = ledger.reserve(run_id, digest, n["received"], chosen.select("event_id", "payload_sha256", day.alias("event_date")))
+        held = ledger.reserve(run_id, digest, n["received"], chosen.select("event_id", "payload_sha256", "event_date"))
         try:
             if not held.replayed_run:
                 if held.n_accepted:

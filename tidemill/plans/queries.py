@@ -195,7 +195,7 @@ _BATCH = f"""batch AS (SELECT event_id AS line_no, {_ERRORS} AS errors, CASE WHE
 
 @query(f"WITH {_BATCH} SELECT line_no, CASE WHEN status IN ('duplicate', 'conflict') THEN '' ELSE errors END AS errors FROM batch")
 def contract_errors(spark, sf):
-    return _lines(spark, sf).select("line_no", F.array_join(contract.contract_errors(F.col("raw")), ",").alias("errors"))
+    return contract.checked(_lines(spark, sf)).select("line_no", F.array_join("errors", ",").alias("errors"))
 
 
 @query(f"WITH {_BATCH} SELECT line_no, errors, status FROM batch")
