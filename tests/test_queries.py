@@ -2,6 +2,7 @@
 
 import math
 import os
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -22,7 +23,7 @@ def duck():
 def plain(x):
     if x is None or isinstance(x, float) and math.isnan(x):
         return ""
-    return f"{float(x):.3f}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
+    return repr(float(x)) if isinstance(x, (int, float, Decimal)) and not isinstance(x, bool) else str(x)
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.money import UNITS, units
 from ..functions.schema import FEATURE_COLUMNS, HOME_COUNTRY
 
-HOUR, DAY = 3600, 86_400
+DAY = 86_400
 
 
 def add_event_features(df: DataFrame, home: str = HOME_COUNTRY) -> DataFrame:
@@ -22,27 +23,28 @@ def add_event_features(df: DataFrame, home: str = HOME_COUNTRY) -> DataFrame:
     })
 
 
+#: The rolling measures: column, days, aggregate, what is aggregated (``units``: the amount in whole units).
+ROLLING = (
+    ("txn_count_24h", 1, F.count, "event_id"),
+    ("amount_sum_24h", 1, F.sum, "units"),
+    ("amount_avg_7d", 7, F.sum, "units"),
+    ("amount_std_30d", 30, F.stddev_pop, "amount"),
+    ("cross_border_count_7d", 7, F.sum, "is_cross_border"),
+    ("night_txn_count_7d", 7, F.sum, "is_night"),
+)
+
+
 def add_customer_velocity_features(df: DataFrame) -> DataFrame:
-    """Rolling sums over whole seconds strictly before an event; ties in lag go by time and id.
+    """Rolling measures over whole seconds strictly before an event, 0 where none is; ties in lag go by time and id.
 
     All frames share one partitioning, hence one shuffle."""
-    by = Window.partitionBy("customer_id").orderBy(F.col("event_time").cast("long"))
-    last = lambda seconds: by.rangeBetween(-seconds, -1)
-    order = Window.partitionBy("customer_id").orderBy("event_time", "event_id")
-    zero = {"txn_count_24h": 0, "amount_sum_24h": 0.0, "amount_avg_7d": 0.0, "amount_std_30d": 0.0, "cross_border_count_7d": 0, "night_txn_count_7d": 0}
-    return (
-        df.withColumns({
-            "txn_count_24h": F.count("event_id").over(last(DAY)),
-            "amount_sum_24h": F.sum("amount").over(last(DAY)),
-            "amount_avg_7d": F.avg("amount").over(last(7 * DAY)),
-            "amount_std_30d": F.stddev_pop("amount").over(last(30 * DAY)),
-            "cross_border_count_7d": F.sum("is_cross_border").over(last(7 * DAY)),
-            "night_txn_count_7d": F.sum("is_night").over(last(7 * DAY)),
-            "previous_transaction_time": F.lag("event_time").over(order),
-        })
-        .withColumn("seconds_since_previous_txn", F.col("event_time").cast("long") - F.col("previous_transaction_time").cast("long"))
-        .fillna(zero)
-    )
+    customer, second = Window.partitionBy("customer_id"), F.col("event_time").cast("long")
+    frame = {days: customer.orderBy(second).rangeBetween(-days * DAY, -1) for days in (1, 7, 30)}
+    previous = F.lag("event_time").over(customer.orderBy("event_time", "event_id"))
+    rolled = {name: f(units() if c == "units" else c).over(frame[days]) for name, days, f, c in ROLLING}
+    rolled["amount_sum_24h"] /= UNITS
+    rolled["amount_avg_7d"] = rolled["amount_avg_7d"] / F.count("amount").over(frame[7]) / UNITS
+    return df.withColumns(rolled | {"previous_transaction_time": previous, "seconds_since_previous_txn": second - previous.cast("long")}).fillna(0, [m[0] for m in ROLLING])
 
 
 def add_peer_features(df: DataFrame) -> DataFrame:

@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-FACT = ("event_id", "customer_id", "event_time", "amount", "currency", "merchant_id", "country", "channel", "event_date", "ingestion_run_id")
-
+from ..functions.money import UNITS, half_up, units
 
-def cents(c):
-    """Rounds half up at two decimals, alike in any engine."""
-    return F.floor(c * 100 + 0.5) / 100
+FACT = ("event_id", "customer_id", "event_time", "amount", "currency", "merchant_id", "country", "channel", "event_date", "ingestion_run_id")
 
 
 def fact_transactions(silver: DataFrame) -> DataFrame:
@@ -19,8 +16,9 @@ def fact_transactions(silver: DataFrame) -> DataFrame:
 
 
 def customer_daily_activity(fact: DataFrame, transfer: str = "bank_transfer") -> DataFrame:
+    total = F.sum(units())
     return fact.groupBy("customer_id", "event_date").agg(
-        F.count(F.lit(1)).alias("transaction_count"), cents(F.sum("amount")).alias("gross_amount"), cents(F.avg("amount")).alias("average_amount"),
+        F.count(F.lit(1)).alias("transaction_count"), half_up(total / UNITS, 2).alias("gross_amount"), half_up(total / F.count("amount") / UNITS, 2).alias("average_amount"),
         F.countDistinct("merchant_id").alias("merchant_count"), F.countDistinct("country").alias("country_count"),
         F.count_if(F.col("channel") == transfer).alias("transfer_count"),
     )
@@ -33,12 +31,15 @@ def high_velocity_customers(daily: DataFrame, transactions: int = 10, countries:
 
 def customer_daily_risk(staged: DataFrame, atm: str = "atm") -> DataFrame:
     """Daily measures, and averages over the customer's last 7 and 30 *active* days."""
+    total = F.sum(units())
     base = staged.groupBy("customer_id", F.date_trunc("day", "event_time").alias("event_date")).agg(
-        F.count(F.lit(1)).alias("transaction_count"), F.sum("amount").alias("total_amount"), F.avg("amount").alias("average_amount"), F.max("amount").alias("max_amount"),
+        F.count(F.lit(1)).alias("transaction_count"), (total / UNITS).alias("total_amount"), (total / F.count("amount") / UNITS).alias("average_amount"), total.alias("units"), F.max("amount").alias("max_amount"),
         F.countDistinct("merchant_id").alias("unique_merchants"), F.count_if(F.col("channel") == atm).alias("atm_transactions"),
     )
     by = Window.partitionBy("customer_id").orderBy("event_date")
-    return base.withColumns({"rolling_7d_spend": F.avg("total_amount").over(by.rowsBetween(-6, 0)), "rolling_30d_txn_count": F.avg("transaction_count").over(by.rowsBetween(-29, 0))})
+    week, month = by.rowsBetween(-6, 0), by.rowsBetween(-29, 0)
+    spend = F.sum("units").over(week) / F.count("units").over(week) / UNITS
+    return base.withColumns({"rolling_7d_spend": spend, "rolling_30d_txn_count": F.avg("transaction_count").over(month)}).drop("units")
 
 
 def build_marts(silver: DataFrame, prefix: str = "") -> dict[str, int]:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import contract
+from ..functions.money import half_up
 from ..operators import features, joins, marts, quality, resolve
 from ..sources import transactions
 
@@ -33,7 +35,11 @@ def _tx(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _r(c: str, n: int = 6):
-    return F.round(c, n).alias(c)
+    return half_up(c, n).alias(c)
+
+
+def _half_up(expression: str, n: int, name: str) -> str:
+    return f"floor({expression} * {10**n} + 0.5) / {10**n} AS {name}"
 
 
 def _micros(c: str):
@@ -47,19 +53,19 @@ def stg_transactions(spark, sf):
 
 
 @query("""WITH $TX SELECT event_id, CAST(event_date AS VARCHAR) AS event_date, CAST(extract(hour FROM event_time) AS INTEGER) AS event_hour,
-  CASE WHEN extract(hour FROM event_time) <= 5 THEN 1 ELSE 0 END AS is_night, CASE WHEN country <> 'TR' THEN 1 ELSE 0 END AS is_cross_border, round(ln(1 + amount), 6) AS log_amount FROM tx""")
+  CASE WHEN extract(hour FROM event_time) <= 5 THEN 1 ELSE 0 END AS is_night, CASE WHEN country <> 'TR' THEN 1 ELSE 0 END AS is_cross_border, floor(ln(1 + amount) * 1000000 + 0.5) / 1000000 AS log_amount FROM tx""")
 def event_features(spark, sf):
     return features.add_event_features(_tx(spark, sf)).select("event_id", F.col("event_date").cast("string").alias("event_date"), "event_hour", "is_night", "is_cross_border", _r("log_amount"))
 
 
-_VELOCITY = """e AS (SELECT *, CASE WHEN extract(hour FROM event_time) <= 5 THEN 1 ELSE 0 END AS is_night, CASE WHEN country <> 'TR' THEN 1 ELSE 0 END AS is_cross_border, epoch_us(event_time) // 1000000 AS s FROM tx),
-v AS (SELECT *, count(event_id) OVER d AS txn_count_24h, coalesce(sum(amount) OVER d, 0) AS amount_sum_24h, coalesce(avg(amount) OVER w, 0) AS amount_avg_7d,
+_VELOCITY = """e AS (SELECT *, CASE WHEN extract(hour FROM event_time) <= 5 THEN 1 ELSE 0 END AS is_night, CASE WHEN country <> 'TR' THEN 1 ELSE 0 END AS is_cross_border, epoch_us(event_time) // 1000000 AS s, CAST(round(amount * 10000) AS BIGINT) AS u FROM tx),
+v AS (SELECT *, count(event_id) OVER d AS txn_count_24h, coalesce(CAST(sum(u) OVER d AS DOUBLE) / 10000, 0) AS amount_sum_24h, coalesce(CAST(sum(u) OVER w AS DOUBLE) / (count(amount) OVER w) / 10000, 0) AS amount_avg_7d,
   coalesce(stddev_pop(amount) OVER m, 0) AS amount_std_30d, CAST(coalesce(sum(is_cross_border) OVER w, 0) AS BIGINT) AS cross_border_count_7d, CAST(coalesce(sum(is_night) OVER w, 0) AS BIGINT) AS night_txn_count_7d,
   s - lag(s) OVER (PARTITION BY customer_id ORDER BY event_time, event_id) AS seconds_since_previous_txn
   FROM e WINDOW d AS (PARTITION BY customer_id ORDER BY s RANGE BETWEEN 86400 PRECEDING AND 1 PRECEDING),
   w AS (PARTITION BY customer_id ORDER BY s RANGE BETWEEN 604800 PRECEDING AND 1 PRECEDING),
   m AS (PARTITION BY customer_id ORDER BY s RANGE BETWEEN 2592000 PRECEDING AND 1 PRECEDING))"""
-_VELOCITY_COLUMNS = "txn_count_24h, round(amount_sum_24h, 4) AS amount_sum_24h, round(amount_avg_7d, 4) AS amount_avg_7d, round(amount_std_30d, 4) AS amount_std_30d, cross_border_count_7d, night_txn_count_7d, seconds_since_previous_txn"
+_VELOCITY_COLUMNS = ", ".join(["txn_count_24h", *[_half_up(c, 4, c) for c in ("amount_sum_24h", "amount_avg_7d", "amount_std_30d")], "cross_border_count_7d, night_txn_count_7d, seconds_since_previous_txn"])
 
 
 @query(f"WITH $TX, {_VELOCITY} SELECT event_id, {_VELOCITY_COLUMNS} FROM v")
@@ -71,25 +77,25 @@ def velocity_features(spark, sf):
 _PEER = "CASE WHEN stddev_pop(amount) OVER p > 0 THEN (amount - avg(amount) OVER p) / stddev_pop(amount) OVER p ELSE 0.0 END"
 
 
-@query(f"WITH $TX SELECT event_id, round(avg(amount) OVER p, 4) AS peer_amount_mean, round(stddev_pop(amount) OVER p, 4) AS peer_amount_std, round({_PEER}, 4) AS amount_peer_zscore FROM tx WINDOW p AS (PARTITION BY event_date, channel)")
+@query(f"WITH $TX SELECT event_id, {_half_up('(avg(amount) OVER p)', 4, 'peer_amount_mean')}, {_half_up('(stddev_pop(amount) OVER p)', 4, 'peer_amount_std')}, {_half_up('(' + _PEER + ')', 4, 'amount_peer_zscore')} FROM tx WINDOW p AS (PARTITION BY event_date, channel)")
 def peer_zscore(spark, sf):
     return features.add_peer_features(_tx(spark, sf)).select("event_id", _r("peer_amount_mean", 4), _r("peer_amount_std", 4), _r("amount_peer_zscore", 4))
 
 
 @query(f"""WITH $TX, {_VELOCITY}, z AS (SELECT *, {_PEER} AS zs FROM v WINDOW p AS (PARTITION BY event_date, channel))
-  SELECT event_id, customer_id, epoch_us(event_time) AS event_time, amount, channel, country, round(ln(1 + amount), 6) AS log_amount, is_night, is_cross_border, {_VELOCITY_COLUMNS}, round(zs, 4) AS amount_peer_zscore FROM z""")
+  SELECT event_id, customer_id, epoch_us(event_time) AS event_time, amount, channel, country, {_half_up('ln(1 + amount)', 6, 'log_amount')}, is_night, is_cross_border, {_VELOCITY_COLUMNS}, {_half_up('zs', 4, 'amount_peer_zscore')} FROM z""")
 def feature_table(spark, sf):
     four = ("amount_sum_24h", "amount_avg_7d", "amount_std_30d", "amount_peer_zscore")
     got = features.build_feature_table(_tx(spark, sf).filter("amount >= 0"))
-    return got.withColumns({"event_time": F.unix_micros("event_time"), "log_amount": F.round("log_amount", 6)} | {c: F.round(c, 4) for c in four})
+    return got.withColumns({"event_time": F.unix_micros("event_time"), "log_amount": _r("log_amount")} | {c: _r(c, 4) for c in four})
 
 
-@query(f"WITH $TX, z AS (SELECT event_id, {_PEER} AS zs FROM tx WINDOW p AS (PARTITION BY event_date, channel)) SELECT event_id, round(zs, 4) AS amount_peer_zscore FROM z ORDER BY zs DESC, event_id LIMIT 20")
+@query(f"WITH $TX, z AS (SELECT event_id, {_PEER} AS zs FROM tx WINDOW p AS (PARTITION BY event_date, channel)) SELECT event_id, {_half_up('zs', 4, 'amount_peer_zscore')} FROM z ORDER BY zs DESC, event_id LIMIT 20")
 def top_peer_scores(spark, sf):
     return features.top_scores(features.build_feature_table(_tx(spark, sf))).select("event_id", _r("amount_peer_zscore", 4))
 
 
-_DAILY = """daily AS (SELECT customer_id, CAST(event_date AS VARCHAR) AS event_date, count(*) AS transaction_count, floor(sum(amount) * 100 + 0.5) / 100 AS gross_amount, floor(avg(amount) * 100 + 0.5) / 100 AS average_amount,
+_DAILY = """daily AS (SELECT customer_id, CAST(event_date AS VARCHAR) AS event_date, count(*) AS transaction_count, floor(CAST(sum(CAST(round(amount * 10000) AS BIGINT)) AS DOUBLE) / 10000 * 100 + 0.5) / 100 AS gross_amount, floor(CAST(sum(CAST(round(amount * 10000) AS BIGINT)) AS DOUBLE) / count(amount) / 10000 * 100 + 0.5) / 100 AS average_amount,
   count(DISTINCT merchant_id) AS merchant_count, count(DISTINCT country) AS country_count, CAST(count(*) FILTER (WHERE channel = 'purchase') AS BIGINT) AS transfer_count FROM tx GROUP BY 1, 2)"""
 
 
@@ -113,29 +119,31 @@ def export_rows(spark, sf):
     return marts.export_rows(_daily(spark, sf))
 
 
-@query("""WITH $TX, base AS (SELECT customer_id, event_date AS d, count(*) AS transaction_count, sum(amount) AS t, avg(amount) AS a, max(amount) AS max_amount, count(DISTINCT merchant_id) AS unique_merchants,
+@query(f"""WITH $TX, base AS (SELECT customer_id, event_date AS d, count(*) AS transaction_count, sum(CAST(round(amount * 10000) AS BIGINT)) AS u, max(amount) AS max_amount, count(DISTINCT merchant_id) AS unique_merchants,
   CAST(count(*) FILTER (WHERE channel = 'purchase') AS BIGINT) AS atm_transactions FROM tx GROUP BY 1, 2)
-  SELECT customer_id, CAST(d AS VARCHAR) AS event_date, transaction_count, round(t, 4) AS total_amount, round(a, 4) AS average_amount, max_amount, unique_merchants, atm_transactions,
-  round(avg(t) OVER (PARTITION BY customer_id ORDER BY d ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 4) AS rolling_7d_spend,
-  round(avg(transaction_count) OVER (PARTITION BY customer_id ORDER BY d ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), 4) AS rolling_30d_txn_count FROM base""")
+  SELECT customer_id, CAST(d AS VARCHAR) AS event_date, transaction_count, {_half_up('(CAST(u AS DOUBLE) / 10000)', 4, 'total_amount')}, {_half_up('(CAST(u AS DOUBLE) / transaction_count / 10000)', 4, 'average_amount')}, max_amount, unique_merchants, atm_transactions,
+  {_half_up('(CAST(sum(u) OVER w AS DOUBLE) / (count(u) OVER w) / 10000)', 4, 'rolling_7d_spend')}, {_half_up('(avg(transaction_count) OVER m)', 4, 'rolling_30d_txn_count')} FROM base
+  WINDOW w AS (PARTITION BY customer_id ORDER BY d ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), m AS (PARTITION BY customer_id ORDER BY d ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)""")
 def customer_daily_risk(spark, sf):
     got = marts.customer_daily_risk(_tx(spark, sf), "purchase")
-    return got.withColumns({"event_date": F.to_date("event_date").cast("string")} | {c: F.round(c, 4) for c in ("total_amount", "average_amount", "rolling_7d_spend", "rolling_30d_txn_count")})
+    return got.withColumns({"event_date": F.to_date("event_date").cast("string")} | {c: _r(c, 4) for c in ("total_amount", "average_amount", "rolling_7d_spend", "rolling_30d_txn_count")})
 
 
 def _fact(spark, sf):
-    return spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("event_id"), F.col("o_custkey").cast("string").alias("customer_id"), F.round(F.col("o_totalprice") * 100).cast("int").alias("amount_cents"))
+    """All orders, and a fact for each supplier, whom no customer row matches."""
+    of = lambda table, key, who, amount, mark: spark.read.parquet(f"{sf}/{table}.parquet").select(F.concat(F.lit(mark), F.col(key).cast("string")).alias("event_id"), F.concat(F.lit(mark), F.col(who).cast("string")).alias("customer_id"), F.round(F.col(amount) * 100).cast("int").alias("amount_cents"))
+    return of("orders", "o_orderkey", "o_custkey", "o_totalprice", "").unionByName(of("supplier", "s_suppkey", "s_suppkey", "s_acctbal", "s"))
 
 
 def _dim(spark, sf):
     nation = spark.read.parquet(f"{sf}/nation.parquet")
     c = spark.read.parquet(f"{sf}/customer.parquet").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    # two thirds of the customers are known: the others stay without a segment
-    return c.filter("c_custkey % 3 <> 0").select(F.col("c_custkey").cast("string").alias("customer_id"), F.col("c_mktsegment").alias("segment"), F.col("n_name").alias("country"))
+    return c.select(F.col("c_custkey").cast("string").alias("customer_id"), F.col("c_mktsegment").alias("segment"), F.col("n_name").alias("country"))
 
 
-_JOINED = """fact AS (SELECT CAST(o_orderkey AS VARCHAR) AS event_id, CAST(o_custkey AS VARCHAR) AS customer_id, CAST(round(o_totalprice * 100) AS INTEGER) AS amount_cents FROM orders),
-dim AS (SELECT CAST(c_custkey AS VARCHAR) AS customer_id, c_mktsegment AS segment, n_name AS country FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 <> 0),
+_JOINED = """fact AS (SELECT CAST(o_orderkey AS VARCHAR) AS event_id, CAST(o_custkey AS VARCHAR) AS customer_id, CAST(round(o_totalprice * 100) AS INTEGER) AS amount_cents FROM orders
+  UNION ALL SELECT 's' || s_suppkey, 's' || s_suppkey, CAST(round(s_acctbal * 100) AS INTEGER) FROM supplier),
+dim AS (SELECT CAST(c_custkey AS VARCHAR) AS customer_id, c_mktsegment AS segment, n_name AS country FROM customer JOIN nation ON c_nationkey = n_nationkey),
 joined AS (SELECT fact.*, segment, country FROM fact LEFT JOIN dim USING (customer_id))"""
 
 
@@ -182,9 +190,10 @@ def _lines(spark, sf):
     body = F.concat(F.lit('{"event_id":'), quote(eid), F.lit(","), customer, F.lit('"event_time":'), quote(time), F.lit(',"amount":'), amount, F.lit(',"currency":'), quote(currency), F.lit(',"merchant_id":'), quote(F.col("merchant_id")), F.lit(',"channel":'), quote(channel), more, F.lit("}"))
     raw = F.when(m == 11, "{broken").when(m == 12, "[1]").otherwise(body)
     rows = e.select(F.col("id").alias("line_no"), raw.alias("raw"), F.col("id"))
-    # every tenth line of 13 to 19 again: the same, or with another merchant
-    again = rows.filter("id % 20 = 13").select((F.col("id") + 1_000_000_000).alias("line_no"), F.when(F.col("id") % 40 == 13, F.col("raw")).otherwise(F.replace("raw", F.lit('"merchant_id":"m'), F.lit('"merchant_id":"x'))).alias("raw"), "id")
-    return rows.unionByName(again)
+    # some events come twice: the same, or with another merchant
+    copies = rows.withColumn("copy", F.explode(F.when(F.col("id") % 20 == 13, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    changed = (F.col("copy") == 1) & (F.col("id") % 40 != 13)
+    return copies.select((F.col("line_no") + F.col("copy") * 1_000_000_000).alias("line_no"), F.when(changed, F.replace("raw", F.lit('"merchant_id":"m'), F.lit('"merchant_id":"x'))).otherwise(F.col("raw")).alias("raw"), "id")
 
 
 _ERRORS = """CASE event_id % 20 WHEN 3 THEN 'minimum:amount' WHEN 4 THEN 'type:amount' WHEN 5 THEN 'pattern:currency' WHEN 6 THEN 'min_length:event_id' WHEN 7 THEN 'enum:channel'
@@ -210,11 +219,11 @@ def run_counters(spark, sf):
 
 
 def _ledger(spark, sf):
-    """Two thirds of the events are known, some with another payload, some reserved by another run."""
+    """A ledger of as many events, of which some have ids of their own, some another payload or another run."""
     e = _tx(spark, sf).withColumn("id", F.col("event_id").cast("long"))
     digest = F.sha2("event_id", 256)
     candidates = e.select("event_id", digest.alias("payload_sha256"))
-    ledger = e.filter("id % 3 <> 0").select("event_id", F.when(F.col("id") % 7 == 0, "other").otherwise(digest).alias("payload_sha256"), F.when(F.col("id") % 5 == 0, "r2").otherwise("r1").alias("run_id"), F.when(F.col("id") % 2 == 0, "reserved").otherwise("committed").alias("state"))
+    ledger = e.select(F.when(F.col("id") % 3 == 0, F.concat(F.lit("old-"), "event_id")).otherwise(F.col("event_id")).alias("event_id"), F.when(F.col("id") % 7 == 0, "other").otherwise(digest).alias("payload_sha256"), F.when(F.col("id") % 5 == 0, "r2").otherwise("r1").alias("run_id"), F.when(F.col("id") % 2 == 0, "reserved").otherwise("committed").alias("state"))
     return candidates, ledger
 
 
@@ -237,7 +246,7 @@ def ledger_seen(spark, sf):
 @query("SELECT CAST(event_id AS VARCHAR) AS event_id, value AS amount FROM events")
 def dedup_events(spark, sf):
     e = _tx(spark, sf)
-    later = e.filter(F.col("event_id").cast("long") % 10 == 0).withColumns({"amount": F.col("amount") + 1, "event_time": F.col("event_time") + F.expr("interval 1 hour")})
+    later = e.withColumns({"amount": F.col("amount") + 1, "event_time": F.col("event_time") + F.expr("interval 1 hour")})
     return resolve.dedup_events(e.unionByName(later), ["event_time", "amount"]).select("event_id", "amount")
 
 
@@ -273,12 +282,7 @@ def sliding_5m(spark, sf):
 
 def _streamed(spark, sf, plan, name):
     """Runs a stream over the fixture's events to its end and reads what it wrote."""
-    from tempfile import mkdtemp
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + mkdtemp(prefix="tidemill-stream-")
-    from uuid import uuid4
-
-    root = f"{root}/tidemill/{name}-{uuid4().hex}"
+    root = session.scratch(spark, name)
     transactions.from_fixture(spark, sf).repartition(1).write.parquet(f"{root}/in")
     source = spark.readStream.schema(transactions.from_fixture(spark, sf).schema).parquet(f"{root}/in")
     out = plan(source)
@@ -315,12 +319,12 @@ def quality_not_null(spark, sf):
     return quality.null_counts(e, quality.NOT_NULL["stg_transactions"])
 
 
-@query("SELECT CAST(event_id AS VARCHAR) AS event_id, 2 AS \"rows\" FROM events WHERE event_id % 10 = 0")
+@query("SELECT CAST(event_id AS VARCHAR) AS event_id, 1 + event_id % 3 AS \"rows\" FROM events WHERE event_id % 3 > 0")
 def quality_unique(spark, sf):
-    e = _tx(spark, sf)
-    return quality.repeated_keys(e.unionByName(e.filter(F.col("event_id").cast("long") % 10 == 0)), quality.UNIQUE["stg_transactions"])
+    e = _tx(spark, sf).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("event_id").cast("int") % 3)))
+    return quality.repeated_keys(e, quality.UNIQUE["stg_transactions"])
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS event_id, CAST(o_custkey AS VARCHAR) AS customer_id FROM orders WHERE o_custkey % 3 = 0")
+@query(f"WITH {_JOINED} SELECT event_id, customer_id FROM fact WHERE NOT EXISTS (SELECT 1 FROM dim WHERE dim.customer_id = fact.customer_id)")
 def quality_orphans(spark, sf):
     return quality.orphans(_fact(spark, sf), _dim(spark, sf), "customer_id").select("event_id", "customer_id")
