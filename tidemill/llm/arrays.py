@@ -17,6 +17,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+
+from ..session import scratch
 
 U64 = np.uint64
 BLOCK_BYTES = 1 << 20
@@ -55,24 +58,12 @@ def ship(spark) -> None:
     sc._tidemill_shipped = True
 
 
-def shared_dir(spark) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    temporary one where the setting is absent (single machines and tests)."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = getattr(sc, "_tidemill_dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemill-shared-")
-        sc._tidemill_dir = found
-    return found
-
-
 def table(df, name: str):
     """Writes df as Parquet in the shared folder and reads it back: cuts the
     lineage, survives the loss of executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemill/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _heavy: dict[str, object] = {}
@@ -194,17 +185,35 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
+#: Polynomials modulo 2**64 collide on crafted strings of some hundred bytes: longer spans are hashed by xxh3.
+POLYNOMIAL_BYTES = 64
+
+
 class SpanHash:
-    """64-bit hashes of arbitrary spans of one byte array, O(1) each."""
+    """64-bit hashes of arbitrary spans of one byte array: O(1) each up to ``POLYNOMIAL_BYTES``,
+    beyond that of all the span's bytes."""
 
     def __init__(self, data: np.ndarray, keys: np.ndarray = BYTE_KEYS) -> None:
         up, self.down = powers(len(data) + 1)
+        self.data, self.fold = data, keys is BYTE_KEYS_LOWER
         self.sums = np.zeros(len(data) + 1, U64)
         np.cumsum(keys[data] * up[: len(data)], out=self.sums[1:])
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        size = ends - starts
+        if len(size) and size.min() > POLYNOMIAL_BYTES:
+            return self._whole(starts, ends)
         h = (self.sums[ends] - self.sums[starts]) * self.down[starts]
-        return mix(h ^ ((ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93)))
+        h = mix(h ^ (size.astype(U64) * U64(0xD6E8FEB86659FD93)))
+        large = np.flatnonzero(size > POLYNOMIAL_BYTES)
+        if len(large):
+            h[large] = self._whole(starts[large], ends[large])
+        return h
+
+    def _whole(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        raw = memoryview(np.ascontiguousarray(LOWER[self.data] if self.fold else self.data))
+        of = xxhash.xxh3_64_intdigest
+        return np.fromiter((of(raw[a:b], 7) for a, b in zip(starts.tolist(), ends.tolist())), U64, len(starts))
 
 
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:

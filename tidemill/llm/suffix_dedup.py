@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,10 @@ from . import arrays as A
 LENGTH = 400
 GRAM = 32
 TREE_CONTEXTS = 32_768
+#: A context or window that holds more than one of so many rows is spread over tasks; there are fewer of them than this.
+HOT_SHARE = 2_000
+#: Rows of such a key that one task joins, about.
+HOT_ROWS = 4_096
 
 
 def anchors(block: A.Block, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, A.SpanHash]:
@@ -249,14 +254,44 @@ def spans_of(docs: DataFrame, text: str = "text", length: int = LENGTH) -> tuple
     whole = by_ctx.filter("n > 1").select("key", "ctx", F.lit(length - min(GRAM, length)).cast("long").alias("l"), F.lit(length).cast("long").alias("r"))
     found = A.table(tree.union(whole), "repeats")
     best = A.table(found.groupBy("key", "ctx").agg(F.collect_set(F.struct("l", "r")).alias("all")), "repeats")
-    spans = rows.select("key", "ctx", "h", "g", "pos").join(best, ["key", "ctx"]).select("h", "g", F.explode(F.transform("all", lambda x: F.struct((F.col("pos") - x["l"]).alias("b"), (F.col("pos") + x["r"]).alias("e")))).alias("s"))
+    at = _spread_join(rows.select("key", "ctx", "h", "g", "pos"), best, by_ctx, ["key", "ctx"])
+    spans = at.select("h", "g", F.explode(F.transform("all", lambda x: _span(F.col("pos") - x["l"], x["l"] + x["r"], length))).alias("s"))
     hot = _hot_spans(texts, several.filter(F.col("kinds") > TREE_CONTEXTS).select("key").distinct(), rows, length)
-    covered = spans.union(hot).groupBy("h", "g").agg(F.collect_set("s").alias("spans"))
+    covered = spans.union(hot).groupBy("h", "g").agg(F.collect_list("s").alias("spans"))
     return texts, covered
 
 
+def _span(begin, size, length: int):
+    """A span as one number: its begin (``length`` bytes before the text at most) and its size."""
+    return F.shiftleft((begin + length).cast("long"), 20).bitwiseOR(size.cast("long"))
+
+
+def _spans(column: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, begin and end of the spans in a list column."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    n = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    flat = column.flatten().to_numpy()
+    begin = (flat >> 20) - length
+    return np.repeat(np.arange(len(n)), n), begin, begin + (flat & ((1 << 20) - 1))
+
+
+def _spread_join(rows: DataFrame, right: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined with right (a row a key), where ``counts`` (keys and n) tells how many rows a key has.
+    Rows of very common keys are dealt over salts, and their row of ``right`` goes to each."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    common = counts.filter(F.col("n") > max(HOT_ROWS, total // HOT_SHARE)).select(*keys, F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("salts"))
+    common = A.table(common, "common")  # fewer than HOT_SHARE rows
+    if not common.limit(1).count():
+        return rows.join(right, keys)
+    salt = F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("salts")).cast("int"), F.lit(0))
+    left = rows.join(F.broadcast(common), keys, "left").withColumn("salt", salt).drop("salts")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1))
+    return left.join(right.join(F.broadcast(common), keys, "left").withColumn("salt", copies).drop("salts"), [*keys, "salt"]).drop("salt")
+
+
 def _hot_spans(texts: DataFrame, keys: DataFrame, rows: DataFrame, length: int) -> DataFrame:
-    """h, g, s (begin, end): repeated windows of the anchors of very common keys."""
+    """h, g, s: repeated windows of the anchors of very common keys."""
     at = A.table(rows.join(keys, "key", "left_semi").groupBy("h", "g").agg(F.collect_list("pos").alias("at"), F.max("m").alias("m")), "common")
     one = texts.dropDuplicates(["h", "g"]).join(at, ["h", "g"]).select("t", "at", "m", "h", "g")
 
@@ -265,7 +300,7 @@ def _hot_spans(texts: DataFrame, keys: DataFrame, rows: DataFrame, length: int)
         for block in A.text_blocks(b.column(0)):
             spans = A.SpanHash(block.data)
             for k in range(len(block)):
-                a = np.array(b.column(1)[block.first + k].as_py(), np.int64)
+                a = b.column(1)[block.first + k].values.to_numpy()
                 reach = length - min(GRAM, length)
                 p = np.unique((a[:, None] - np.arange(reach + 1)).ravel())
                 p = p[(p >= 0) & (p + length <= block.sizes[k])]
@@ -289,9 +324,9 @@ def _hot_spans(texts: DataFrame, keys: DataFrame, rows: DataFrame, length: int)
             for row, p, w in windows(b):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), h[row])), pa.array(np.full(len(p), g[row])), pa.array(p), A.long_array(w)], names=["h", "g", "p", "w"])
 
-    twice = one.mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).filter("n > 1").select("w")
-    hit = one.mapInArrow(place, "h long, g long, p long, w long").join(twice, "w")
-    return hit.select("h", "g", F.struct(F.col("p").alias("b"), (F.col("p") + length).alias("e")).alias("s"))
+    twice = A.table(one.mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).filter("n > 1"), "windows")
+    hit = _spread_join(one.mapInArrow(place, "h long, g long, p long, w long"), twice.select("w"), twice, ["w"])
+    return hit.select("h", "g", _span(F.col("p"), F.lit(length), length).alias("s"))
 
 
 def cut(docs: DataFrame, keep: list[str], text: str = "text", length: int = LENGTH, whole_characters: bool = False) -> DataFrame:
@@ -308,16 +343,14 @@ def cut(docs: DataFrame, keep: list[str], text: str = "text", length: int = LENG
     def start():
         def work(column, spans):
             n, gone, runs, kept = [], [], [], []
+            row, begin, end = _spans(spans, length)
             for block in A.text_blocks(column):
                 data, off = block.data, block.offsets
                 edge = np.zeros(len(data) + 1, np.int64)
-                for k in range(len(block)):
-                    s = spans[block.first + k].as_py()
-                    if s:
-                        b = np.maximum(np.array([x["b"] for x in s]), 0) + off[k]
-                        e = np.minimum(np.array([x["e"] for x in s]) + off[k], off[k + 1])
-                        np.add.at(edge, b, 1)
-                        np.add.at(edge, e, -1)
+                here = slice(*np.searchsorted(row, (block.first, block.last)))
+                own = row[here] - block.first
+                np.add.at(edge, np.maximum(begin[here], 0) + off[own], 1)
+                np.add.at(edge, np.minimum(end[here] + off[own], off[own + 1]), -1)
                 out = np.cumsum(edge[:-1]) > 0
                 if whole_characters and len(data):
                     char = np.cumsum((data & 0xC0) != 0x80) - 1
