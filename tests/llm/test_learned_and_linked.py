@@ -46,59 +46,84 @@ def test_toxicity_held_out(spark, edge):
 
 
 def word_models(rows):
-    """The toxicity model of (text, label) by the book: a function of a text to its log-ratio a word."""
+    """The toxicity models of (text, label) by the book: of a text, the log-ratio of each word by pairs and by words alone."""
     n = [Counter(), Counter()]
     for t, y in rows:
         w = ["", *t.split()]
         n[y].update(zip(w, w[1:]))
-    both = n[0] + n[1]
-    share = lambda c: min(max(sum(v == 1 for v in c.values()) / (sum(v == 1 for v in c.values()) + 2 * sum(v == 2 for v in c.values())), 0.1), 0.95)
-    d, s = share(both), toxicity.SHARED
-    t = [Counter(b for _, b in c) for c in (*n, both)]
-    u = [share(c) for c in t[:2]]
-    spare = [sum(c.values()) - u[i] * len(c) for i, c in enumerate(t[:2])]
-    weight, cut, often = Counter(), Counter(), [Counter(), Counter()]
-    for (a, b), v in both.items():
-        weight[a] += v
-        cut[a] += d if v > 1 else 1
-        for c in (0, 1):
-            often[c][a] += n[c][a, b] * (v > 1)
+    n.append(n[0] + n[1])  # the shared counts
+    ones = lambda c, k: sum(v == k for v in c.values())
+    share = lambda c: min(max(ones(c, 1) / (ones(c, 1) + 2 * ones(c, 2)), 0.1), 0.95)
+    s, d = toxicity.SHARED, [share(c) for c in n]
+    t = [Counter(b for _, b in c) for c in n]
+    u = [share(c) for c in t]
+    spare = [sum(c.values()) - u[i] * len(c) for i, c in enumerate(t)]
+    total, kinds = [Counter() for _ in n], [Counter() for _ in n]
+    for c in range(3):
+        for (a, _), v in n[c].items():
+            total[c][a] += v
+            kinds[c][a] += 1
+
+    def low(b, c):
+        return (1 - s) * max(t[c][b] - u[c], 0) / spare[c] + s * t[2][b] / sum(t[2].values())
+
+    def one(a, b, c):
+        """Kneser-Ney by the counts c: the pair's own part and what is left to the lower order."""
+        return max(n[c][a, b] - d[c], 0) / total[c][a], d[c] * kinds[c][a] / total[c][a]
 
     def p(a, b, c):
-        low = (1 - s) * max(t[c][b] - u[c], 0) / spare[c] + s * t[2][b] / sum(t[2].values())
-        if not weight[a]:
-            return low
-        rest, q = cut[a] / weight[a], 0
-        if both[a, b] > 1:
-            pool = both[a, b] / (often[0][a] + often[1][a])
-            q = (1 - s) * (n[c][a, b] / often[c][a] if often[c][a] else pool) + s * pool
-        return (1 - rest) * q + rest * low
+        if not total[2][a]:
+            return low(b, c)
+        shared = one(a, b, 2)
+        mine = one(a, b, c) if total[c][a] else shared
+        return sum((1 - s) * x + s * y for x, y in zip((mine[0], mine[1] * low(b, c)), (shared[0], shared[1] * low(b, c))))
 
     def ratios(text):
         w = ["", *text.split()]
-        return np.array([np.log(p(a, b, 1) / p(a, b, 0)) if t[2][b] else 0.0 for a, b in zip(w, w[1:])])
+        of = lambda f: np.array([np.log(f(a, b, 1) / f(a, b, 0)) if t[2][b] else 0.0 for a, b in zip(w, w[1:])])
+        return of(p), of(lambda a, b, c: low(b, c))
 
     return ratios
 
 
-@pytest.mark.parametrize("piece_rows", [None, 2000])
-def test_toxicity_models_keep_every_word(spark, monkeypatch, piece_rows):
+@pytest.mark.parametrize("way", ["arrays", "ranges", "joins"])
+def test_toxicity_models_by_the_book(spark, monkeypatch, way):
     rng = random.Random(11)
     names = [f"w{i}" for i in range(9000)]
     rows = [(i, " ".join(rng.choice(names) for _ in range(60)), int(i % 3 == 0)) for i in range(300)]
-    rows += [(300 + i, t + " " + t, y) for i, (_, t, y) in enumerate(rows[:200])]  # pairs seen twice or more
-    if piece_rows:  # models of several key ranges
-        monkeypatch.setattr(toxicity.A, "PIECE_ROWS", piece_rows)
+    rows += [(300 + i, t + " " + t, y) for i, (_, t, y) in enumerate(rows[:200])]  # pairs seen once, twice and more
+    if way == "ranges":  # models of several key ranges
+        monkeypatch.setattr(toxicity.A, "PIECE_ROWS", 2000)
     train = spark.createDataFrame(rows, "doc_id long, text string, y int").repartition(3)
-    model = toxicity.fit_models(train, "text")
-    other = [(900, "unknown w1 w2 unknown w3", 0), (901, "", 0)]
+    model = toxicity.model_tables(train, "text")
+    if way != "joins":
+        model = toxicity._pieces(model)
+        assert model["pairs"].many == (way == "ranges")
+    other = [(900, "unknown w1 w2 unknown w3", 0), (901, "", 0), (902, None, 0), (903, "w1 w2 " * 3, 0)]
     docs = train.union(spark.createDataFrame(other, "doc_id long, text string, y int"))
     got = {r["doc_id"]: r["features"] for r in toxicity._scored(docs, model, None, ["doc_id"], "text", True).collect()}
     ratios = word_models([(t, y) for _, t, y in rows])
     for i, t, _ in rows + other:
-        r = ratios(t)
-        want = [r.mean(), np.maximum(r - toxicity.EXCESS, 0).mean(), (r > toxicity.EXCESS).mean()] if len(r) else [0, 0, 0]
-        assert got[i][:3] == pytest.approx(want, rel=1e-4, abs=1e-5), i
+        want = []
+        for r in ratios(t or ""):
+            want += [r.mean(), np.maximum(r - toxicity.EXCESS, 0).mean(), (r > toxicity.EXCESS).mean()] if len(r) else [0, 0, 0]
+        assert got[i] == pytest.approx([*want, np.log1p(len((t or "").split()))], rel=1e-4, abs=2e-5), i
+
+
+def test_toxicity_joined_models_score_alike(spark, monkeypatch, edge):
+    docs, labels = labelled_corpus(spark, 200)
+    docs = docs.withColumns({"Score": F.lit("x"), "features": F.lit(1), "h": F.lit(2), "kept": F.lit("y")})
+    want = {r["doc_id"]: r for r in toxicity.score(docs, labels, ["doc_id", "h", "kept", "Score"]).collect()}
+    monkeypatch.setattr(toxicity, "MODEL_ROWS", 0)
+    monkeypatch.setattr(toxicity, "CALIBRATION_ROWS", 40)
+    some = toxicity.score(docs, labels, ["doc_id"])  # a smaller sample: other weights, the same rows
+    assert some.count() == len(want)
+    monkeypatch.setattr(toxicity, "CALIBRATION_ROWS", 50_000)
+    got = {r["doc_id"]: r for r in toxicity.score(docs, labels, ["doc_id", "h", "kept", "Score"]).collect()}
+    assert got.keys() == want.keys()
+    for k, r in want.items():
+        assert got[k]["score"] == pytest.approx(r["score"], abs=1e-4) and (got[k]["h"], got[k]["kept"]) == (2, "y")
+    assert toxicity.score(edge.limit(0), labels, ["doc_id"]).count() == 0
 
 
 def test_quality_held_out(spark, edge):

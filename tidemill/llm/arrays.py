@@ -420,18 +420,38 @@ def sum_by(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- labels
 
-def labelled(docs, labels, key: str, label: str, remainders: tuple[int, ...], limit: int = 4_000_000):
-    """docs with their label in column ``y`` (0 or 1; the greater of several), of the keys
-    whose crc32 modulo 4 is one of ``remainders``.  The labels are broadcast if there
-    are at most ``limit``; beyond that it is a plain join."""
+def labels_of(labels, key: str, label: str, remainders: tuple[int, ...], most: int | None = None):
+    """(__key, y): the labels (0 or 1; the greater of several) of the keys whose crc32 modulo 4 is
+    one of ``remainders``; of ``most`` keys, chosen by hash, if that is given."""
     from pyspark.sql import functions as F
 
     fold = F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4))
     y = labels.filter(F.col(label).isin(0, 1) & fold.isin(*remainders)).groupBy(F.col(key).alias("__key")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    return y.orderBy(F.xxhash64("__key"), "__key").limit(most) if most else y
+
+
+def labelled(docs, labels, key: str, label: str, remainders: tuple[int, ...], most: int | None = None, limit: int = 4_000_000):
+    """docs with their label in column ``y``, as ``labels_of`` gives it.  The labels are broadcast if
+    there are at most ``limit``; beyond that it is a plain join."""
+    from pyspark.sql import functions as F
+
+    y = table(labels_of(labels, key, label, remainders, most), "labels")
     y = F.broadcast(y) if y.count() <= limit else y
     return docs.join(y, docs[key] == y["__key"]).drop("__key")
 
 
+def sample(rows, columns: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values and labels of a sample (key, y, columns of numbers or of lists of them, ``width`` in all): one row a key,
+    so that repeated keys can't make it larger."""
+    one = rows.dropDuplicates(["key"]).toArrow()
+    y = one.column("y").to_numpy().astype(np.float64)
+    parts = [one.column(c).combine_chunks() for c in columns]
+    flat = [p.flatten().to_numpy().reshape(len(y), -1) if pa.types.is_list(p.type) else p.to_numpy()[:, None] for p in parts] if len(y) else [np.zeros((0, width))]
+    x = np.concatenate(flat, 1)
+    order = np.lexsort((*x.T, y))  # sums don't depend on the order of rows
+    return x[order], y[order]
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """Weights (the last is the constant) of a logistic regression on standardised columns,
     put back to the columns' own scale; the log-odds of y where it has one value or no rows."""

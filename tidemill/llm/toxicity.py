@@ -2,32 +2,35 @@
 
 For the toxic and the ordinary class there is a word-pair model
 
-    p_c(w | v) = (1 - rest(v)) * q_c(w | v) + rest(v) * p_c(w)
-    q_c(w | v) = (1 - SHARED) * n_c(v w) / n_c(v) + SHARED * n(v w) / n(v)
-    p_c(w) = (1 - SHARED) * max(t_c(w) - d_c, 0) / sum + SHARED * t(w) / T
-
-n counts pairs, t the distinct words before a word; with the index c those of a
-class, without it those of both.  Absolute discounts d (from counts of counts;
-pairs seen once leave everything) free the mass rest(v) for the lower order.
-The counts without index are the shared backoff: an expression too rare for its
-class to tell, or a context that a class hasn't, moves both likelihoods alike.
-
-A text's log-likelihoods are compared per word: the mean log-ratio, and, since
-a few expressions make a text toxic whatever its length, the mean of what
-exceeds ``EXCESS`` and the share of such words.  A logistic regression on these
-and the length, fitted on at most ``CALIBRATION_ROWS`` labelled texts whose
+    p_c(w | v) = (1 - S) * (n_c(v w) - D_c) / n_c(v) + S * (n(v w) - D) / n(v) + rest_c(v) * p_c(w)
+    rest_c(v) = (1 - S) * D_c * k_c(v) / n_c(v) + S * D * k(v) / n(v)
+    p_c(w) = (1 - S) * (t_c(w) - E_c) / sum + S * t(w) / T
+
+n counts pairs, k a word's different followers, t the different words before a
+word; with the index c in one class, without it in both.  The absolute discounts
+D and E come from counts of counts.  The counts without index are the shared
+backoff (weight S): an expression too rare for its class to tell moves both
+likelihoods alike, and where a class hasn't a context the shared counts stand for
+it alone.
+
+A text's log-likelihoods are compared per word, for p_c(w | v) and for the lower
+order p_c(w): the mean log-ratio, and, since a few expressions make a text toxic
+whatever its length, the mean of what exceeds ``EXCESS`` and the share of such
+words.  A logistic regression on these and the length, fitted on at most ``CALIBRATION_ROWS`` labelled keys whose
 counts aren't in the models, turns them into a score.
 
 Counting, discounts and context masses are Spark aggregations over all labelled
-texts.  All words, contexts and pairs (seen twice or more) are kept under their
-full 64-bit hashes, so the models grow with the labelled texts.  They reach the
-workers as sorted arrays in key ranges (``arrays.Pieces``), of which a worker
-holds one of each table at a time.
+texts.  All words, contexts and pairs are kept under their full 64-bit hashes, so
+the models grow with the labelled texts.  Up to ``MODEL_ROWS`` pairs they reach the
+workers as sorted arrays in key ranges (``arrays.Pieces``), of which a worker holds
+one of each table at a time; larger models are joined with the texts' pairs
+(``joined_features``).  Both give the same features.
 
 Defined results: a null text counts as empty; a text without words has the
 ratios 0; labels that are null or not 0 or 1 are ignored, of several for a key
 the greater holds; without labels of both classes all scores are the class's
 share; repeated rows get equal scores; an empty table gives an empty result.
+Columns of ``keep`` that clash with a result column are replaced by it.
 """
 
 from __future__ import annotations
@@ -42,14 +45,16 @@ from pyspark.sql import functions as F
 from . import arrays as A
 
 #: Bytes that go through all pieces of large models at a time.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
+#: Above this many pairs the models are joined with the texts' pairs instead.
+MODEL_ROWS = 16_000_000
 SHARED = 0.5
 EXCESS = 1.5
 CALIBRATION_ROWS = 50_000
 THRESHOLD = 0.3
 #: Keys with these crc32 remainders (modulo 4) are counted, and those calibrate.
 COUNTED, CALIBRATED, HELD_OUT = (0, 1), (3,), 2
-FEATURES = 4
+FEATURES = 7
 
 
 def _tokens(block: A.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,33 +101,40 @@ def _discount(ones, twos) -> float:
     return min(max(ones / (ones + 2 * twos), 0.1), 0.95) if ones else 0.5
 
 
-def fit_models(train: DataFrame, text: str) -> dict[str, A.Pieces]:
-    """The word, context and pair tables, whole."""
-    owner = uuid.uuid4().hex
+def model_tables(train: DataFrame, text: str) -> dict[str, DataFrame]:
+    """words (key, v0, v1: p_c(w)), rest (key, v0, v1: rest_c(v)) and pairs (key, v0, v1: what
+    p_c(w | v) has beyond rest_c(v) * p_c(w)), whole."""
     pairs = A.table(count_pairs(train, text), "pairs")
     many = lambda c, k: F.sum((F.expr(c) == k).cast("long"))
-    n = pairs.agg(many("n0 + n1", 1).alias("n1"), many("n0 + n1", 2).alias("n2")).first()
-    d = _discount(n["n1"], n["n2"])
-    often = F.col("n0") + F.col("n1") > 1
-    kept = [F.sum(F.when(often, F.col(f"n{c}")).otherwise(0)).alias(f"s{c}") for c in (0, 1)]
-    # a written table: the join below is then free to split what a common word holds
-    context = A.table(pairs.groupBy("a").agg(*kept, F.sum(F.col("n0") + F.col("n1")).alias("weight"), F.sum(F.when(often, d).otherwise(1.0)).alias("cut")), "contexts")
-    # a context that leaves everything is as one that isn't there
-    rest = A.Pieces.of(owner, context.filter("s0 + s1 > 0").select(F.col("a").alias("key"), (F.col("cut") / F.col("weight")).alias("v")))
+    sides = {"0": "n0", "1": "n1", "": "n0 + n1"}
+    n = pairs.agg(*[many(e, k).alias(f"d{c}_{k}") for c, e in sides.items() for k in (1, 2)]).first()
+    d = {c: _discount(n[f"d{c}_1"], n[f"d{c}_2"]) for c in sides}
     word = A.table(pairs.groupBy("b").agg(*[F.sum((F.col(f"n{c}") > 0).cast("long")).alias(f"t{c}") for c in (0, 1)], F.count(F.lit(1)).alias("t")), "words")
     n = word.agg(*[many(f"t{c}", k).alias(f"t{c}{k}") for c in (0, 1) for k in (1, 2)], F.sum("t").alias("all"), *[F.sum(f"t{c}").alias(f"s{c}") for c in (0, 1)], *[F.sum((F.col(f"t{c}") > 0).cast("long")).alias(f"k{c}") for c in (0, 1)]).first()
     u = [_discount(n[f"t{c}1"], n[f"t{c}2"]) for c in (0, 1)]
     own = [F.greatest(F.col(f"t{c}") - u[c], F.lit(0.0)) / max((n[f"s{c}"] or 0) - u[c] * (n[f"k{c}"] or 0), 1e-9) for c in (0, 1)]
-    words = A.Pieces.of(owner, word.select(F.col("b").alias("key"), *[((1 - SHARED) * own[c] + SHARED * F.col("t") / max(n["all"] or 0, 1)).alias(f"v{c}") for c in (0, 1)]), values=("v0", "v1"))
-    seen = pairs.filter(often).join(context, "a").withColumn("n", F.col("n0") + F.col("n1"))
-    pool = F.col("n") / (F.col("s0") + F.col("s1"))
-    alpha = [((1 - F.col("cut") / F.col("weight")) * ((1 - SHARED) * F.when(F.col(f"s{c}") > 0, F.col(f"n{c}") / F.col(f"s{c}")).otherwise(pool) + SHARED * pool)).alias(f"v{c}") for c in (0, 1)]
-    both = A.Pieces.of(owner, A.table(seen.select(_pair_column("a", "b").alias("key"), *alpha), "seen"), values=("v0", "v1"))
-    return {"words": words, "rest": rest, "pairs": both}
+    words = word.select(F.col("b").alias("key"), *[((1 - SHARED) * own[c] + SHARED * F.col("t") / max(n["all"] or 0, 1)).alias(f"v{c}") for c in (0, 1)])
+    # a written table: the join below is then free to split what a common word holds
+    held = [F.sum(F.expr(x)).alias(f"s{c}") for c, x in sides.items()] + [F.count_if(F.expr(x) > 0).alias(f"k{c}") for c, x in sides.items()]
+    context = A.table(pairs.groupBy("a").agg(*held), "contexts")
+
+    def mix(mine, shared, c: str):
+        """A class's part and the shared one, which stands alone where the class hasn't the context."""
+        return F.when(F.col(f"s{c}") > 0, (1 - SHARED) * mine / F.col(f"s{c}") + SHARED * shared / F.col("s")).otherwise(shared / F.col("s"))
+
+    rest = context.select(F.col("a").alias("key"), *[mix(d[c] * F.col(f"k{c}"), d[""] * F.col("k"), c).alias(f"v{c}") for c in ("0", "1")])
+    more = [mix(F.greatest(F.col(f"n{c}") - d[c], F.lit(0.0)), F.col("n0") + F.col("n1") - d[""], c).alias(f"v{c}") for c in ("0", "1")]
+    both = pairs.join(context, "a").select(_pair_column("a", "b").alias("key"), *more)
+    return {"words": words, "rest": rest, "pairs": A.table(both, "model")}
+
+
+def _pieces(tables: dict[str, DataFrame]) -> dict[str, A.Pieces]:
+    owner = uuid.uuid4().hex
+    return {n: A.Pieces.of(owner, t, values=("v0", "v1")) for n, t in tables.items()}
 
 
 def features(blocks: list[A.Block], model: dict[str, A.Pieces]) -> np.ndarray:
-    """Mean log-ratio, mean excess, share of exceeding words, log length of each text."""
+    """Mean log-ratio, mean excess and share of exceeding words by pairs, the same by words alone, log length of each text."""
     tokens = [_tokens(b) for b in blocks]
     signed = lambda keys: [k.view(np.int64) for k in keys]
     word = model["words"].find(signed(b for _, b, _ in tokens), 0)
@@ -130,16 +142,65 @@ def features(blocks: list[A.Block], model: dict[str, A.Pieces]) -> np.ndarray:
     pairs = model["pairs"].find(signed(_pair(a, b) for a, b, _ in tokens), 0)
     out = []
     for (_, _, bounds), p, r, q in zip(tokens, word, left, pairs):
-        n = np.maximum(np.diff(bounds), 1)
-        known = p[:, 0] > 0
-        p = p * r[:, None] + q
-        ratio = np.where(known, np.log(np.maximum(p[:, 1], 1e-12)) - np.log(np.maximum(p[:, 0], 1e-12)), 0.0).astype(np.float64)
-        over = np.maximum(ratio - EXCESS, 0)
-        out.append(np.stack([A.sum_by(ratio, bounds) / n, A.sum_by(over, bounds) / n, A.sum_by((over > 0).astype(np.float64), bounds) / n, np.log1p(np.diff(bounds))], 1))
+        n, known, found = np.maximum(np.diff(bounds), 1), p[:, 0] > 0, []
+        for likely in (p * r + q, p):
+            ratio = np.where(known, np.log(np.maximum(likely[:, 1], 1e-12)) - np.log(np.maximum(likely[:, 0], 1e-12)), 0.0).astype(np.float64)
+            over = np.maximum(ratio - EXCESS, 0)
+            found += [A.sum_by(x, bounds) / n for x in (ratio, over, (over > 0).astype(np.float64))]
+        out.append(np.stack([*found, np.log1p(np.diff(bounds))], 1))
     return np.concatenate(out)
 
 
+def joined_features(docs: DataFrame, tables: dict[str, DataFrame], text: str) -> DataFrame:
+    """(h, g, features) of the different texts of docs, by joins of their pairs with the models:
+    nothing is broadcast, and a common pair's rows are Spark's to split.  h and g are two
+    chained hashes of the text."""
+    A.ship(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            h, g = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for block in A.text_blocks(batch.column(0)):
+                a, b, bounds = _tokens(block)
+                row = np.repeat(np.arange(block.first, block.last), np.diff(bounds))
+                _, at, n = np.unique(A.pair(A.pair(a, b), row.astype(np.uint64)), return_index=True, return_counts=True)
+                for s in range(0, len(at), 1 << 16):
+                    i = at[s : s + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(h[row[i]]), pa.array(g[row[i]]), A.long_array(a[i]), A.long_array(b[i]), A.long_array(_pair(a[i], b[i])), pa.array(n[s : s + (1 << 16)])], names=["h", "g", "a", "b", "key", "n"])
+
+    named = docs.select(_text(text).alias("t")).select("t", *_name("t"))
+    held = A.table(named.dropDuplicates(["h", "g"]).mapInArrow(run, "h long, g long, a long, b long, key long, n long"), "tokens")
+    side = lambda name, key, x: tables[name].select(F.col("key").alias(key), *[F.col(f"v{c}").cast("float").cast("double").alias(f"{x}{c}") for c in (0, 1)])
+    got = held.join(side("pairs", "key", "q"), "key", "left").join(side("words", "b", "p"), "b", "left").join(side("rest", "a", "r"), "a", "left")
+    floor, size, found = F.lit(1e-12), F.sum("n"), []
+    paired = [F.col(f"p{c}") * F.coalesce(f"r{c}", F.lit(1.0)) + F.coalesce(f"q{c}", F.lit(0.0)) for c in (0, 1)]
+    ratio = lambda p: F.when(F.col("p0") > 0, F.log(F.greatest(p[1], floor)) - F.log(F.greatest(p[0], floor))).otherwise(0.0)
+    got = got.select("h", "g", "n", ratio(paired).alias("ratio2"), ratio([F.col("p0"), F.col("p1")]).alias("ratio1"))
+    for c in ("ratio2", "ratio1"):
+        over = F.greatest(F.col(c) - EXCESS, F.lit(0.0))
+        found += [F.sum(x * F.col("n")) / size for x in (F.col(c), over, (over > 0).cast("int"))]
+    sums = got.groupBy("h", "g").agg(F.array(*found, F.log1p(size)).alias("features"))
+    return A.table(sums, "features")
+
+
+def _text(text: str) -> Column:
+    return F.coalesce(F.col(text).cast("string"), F.lit(""))
+
+
+def _name(t: str | Column) -> tuple[Column, Column]:
+    return F.xxhash64(t).alias("h"), F.xxhash64(F.lit(1), t).alias("g")
+
+
 def _scored(docs: DataFrame, model, weights, keep: list[str], text: str, raw: bool) -> DataFrame:
+    """keep and the features (``raw``) or the score of every row."""
+    new = "features" if raw else "score"
+    if isinstance(next(iter(model.values())), DataFrame):
+        keep = [c for c in dict.fromkeys(keep) if c.lower() != new]
+        some = docs.select(*[F.col("`" + c.replace("`", "``") + "`").alias(f"k{i}") for i, c in enumerate(keep)], *_name(_text(text)))
+        x = F.coalesce("features", F.array(*[F.lit(0.0)] * FEATURES))  # a text without words
+        z = F.lit(0.0) if raw else sum((x[i] * float(w) for i, w in enumerate(weights[:-1])), F.lit(float(weights[-1])))
+        out = some.join(joined_features(docs, model, text), ["h", "g"], "left")
+        return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], (x if raw else 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))).alias(new))
     many = any(t.many for t in model.values())
 
     def start():
@@ -157,12 +218,14 @@ def _scored(docs: DataFrame, model, weights, keep: list[str], text: str, raw: bo
 
 def score(docs: DataFrame, labels: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """``keep``, score, held_out and predicted of every row; the model is learnt from ``labels``."""
-    src = docs.select(key, text)
-    model = fit_models(A.labelled(src, labels, key, label, COUNTED), text)
-    some = A.labelled(src, labels, key, label, CALIBRATED).orderBy(F.xxhash64(key), key).limit(CALIBRATION_ROWS)
-    got = _scored(some, model, None, ["y"], text, True).toArrow()
-    x = np.array(got.column("features").to_pylist(), np.float64).reshape(-1, FEATURES)
-    weights = A.logistic(x, got.column("y").to_numpy().astype(np.float64))
+    src = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    named = labels.select(F.col(key).alias("key"), F.col(label).alias("label"))
+    tables = model_tables(A.labelled(src, named, "key", "label", COUNTED), "text")
+    model = _pieces(tables) if tables["pairs"].count() <= MODEL_ROWS else tables
+    some = A.labelled(src, named, "key", "label", CALIBRATED, CALIBRATION_ROWS)
+    x, y = A.sample(_scored(some, model, None, ["key", "y"], "text", True), ["features"], FEATURES)
+    weights = A.logistic(x, y)
     held = F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4)) == HELD_OUT
+    keep = [c for c in keep if c.lower() not in ("held_out", "predicted")]
     out = _scored(docs, model, weights, list(dict.fromkeys([*keep, key])), text, False)
     return out.withColumns({"held_out": held, "predicted": (F.col("score") >= THRESHOLD).cast("int")})
