@@ -252,3 +252,36 @@ def test_pipeline_stages(spark):
         docs = left
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001")
     assert packed.select("doc_id").distinct().count() == docs.count()
+
+
+def test_a_null_conversation_is_formatted(spark):
+    rows = spark.createDataFrame([(None, 0, "user", "a"), (None, 1, "assistant", "b"), (4, 0, "user", None)], "c long, turn long, role string, text string")
+    got = chat_format.format_tree(chat_format.chains(rows, "c", "turn", "role", "text")).select("conv", chat_format.read_back(F.col("formatted")).alias("t")).collect()
+    assert {r["conv"]: [t["text"] for t in r["t"]] for r in got} == {None: ["a", "b"], 4: [""]}
+
+
+@pytest.mark.parametrize("bits", [32, 6])
+def test_denied_pairs_lose_no_links(spark, monkeypatch, bits):
+    """Brief sets of few bits take texts for alike that aren't; the links are those of full sets."""
+    monkeypatch.setattr(minhash_dedup, "BRIEF_BITS", bits)
+    rng = random.Random(9)
+    base = prose(rng, 40).split()
+    texts = []
+    for _ in range(60):  # a cloud of texts around the threshold
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(40)}"
+        texts.append(" ".join(w))
+    sets = {i: {tuple(t.split()[j : j + 3]) for j in range(len(t.split()) - 2)} for i, t in enumerate(texts)}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.link(docs, width=3, numerator=85, denominator=100).collect()}
+    assert got == groups(pairs, sets)
+
+
+def test_sketches_lose_less_than_bands():
+    from math import comb
+
+    for num, den in ((85, 100), (4, 5)):
+        p, limit = (1 - num / den) / 2, minhash_dedup.sketch_limit(num, den)
+        assert sum(comb(100, k) * p**k * (1 - p) ** (100 - k) for k in range(limit + 1, 101)) <= (1 - (num / den) ** 5) ** 20

@@ -16,8 +16,9 @@ string, of the texts of ``assistant`` turns.
 
 Defined results: a null text or role counts as empty; a message whose parent is
 unknown is a root; messages that reach no root (cycles) belong to no branch; a
-null score counts as 0; nulls in node keys drop no other message; an empty table
-gives an empty result.  Other columns aren't read.
+null score counts as 0; messages of a null conversation are one conversation; a message
+of a null node belongs to no branch and drops no other; an empty table gives an
+empty result.  Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -47,9 +48,14 @@ def chains(messages: DataFrame, conv: str, turn: str, role: str, text: str) -> D
     return messages.select(F.col(conv).alias("conv"), F.row_number().over(own).cast("long").alias("node"), F.col(role).alias("role"), F.col(text).alias("text")).withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1)).withColumn("score", F.lit(0.0))
 
 
+def _held(conv: str) -> Column:
+    """A conversation's key as a struct, which is never null, so that joins match a null key too."""
+    return F.struct(F.col(conv).alias("conv")).alias("conv")
+
+
 def branch_messages(tree: DataFrame, branches: int = 1) -> DataFrame:
     """(conv, branch, place, node): the messages of the chosen branches, root first."""
-    nodes = tree.select("conv", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
+    nodes = tree.select(_held("conv"), "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
     known = nodes.select("conv", F.col("node").alias("parent"), F.lit(True).alias("known"))
     up = nodes.join(known, ["conv", "parent"], "left").select("conv", "node", F.when(F.col("known"), F.col("parent")).alias("up"), "score", F.lit(1).cast("long").alias("steps"))
     leaves = nodes.select("conv", "node").join(nodes.select("conv", F.col("parent").alias("node")), ["conv", "node"], "left_anti")
@@ -74,21 +80,21 @@ def branch_messages(tree: DataFrame, branches: int = 1) -> DataFrame:
         wide = part.filter(F.col("steps") > half).join(far, ["conv", "node"])
         both = F.array(F.struct(F.col("node").alias("node"), F.lit(half).cast("long").alias("steps"), F.col("below").alias("below")), F.struct(F.col("far").alias("node"), (F.col("steps") - half).alias("steps"), (F.col("below") + half).alias("below")))
         part = A.table(part.filter(F.col("steps") <= half).unionByName(wide.select("conv", "branch", "all", F.explode(both).alias("p")).select("conv", "branch", "all", "p.*")), "part")
-    return part.select("conv", "branch", (F.col("all") - F.col("below") - 1).alias("place"), "node")
+    return part.select("conv.conv", "branch", (F.col("all") - F.col("below") - 1).alias("place"), "node")
 
 
 def format_tree(tree: DataFrame, branches: int = 1) -> DataFrame:
     """conv, branch, formatted (string) and loss (array<struct<start,length>>) of each chosen branch."""
     text, role = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("role").cast("string"), F.lit(""))
-    said = tree.select("conv", "node", (role == ASSISTANT).alias("learn"), F.concat(F.lit(START), escape(role, True), F.lit("\n")).alias("head"), escape(text).alias("body"))
-    turns = branch_messages(tree, branches).join(said, ["conv", "node"])
+    said = tree.select(_held("conv"), "node", (role == ASSISTANT).alias("learn"), F.concat(F.lit(START), escape(role, True), F.lit("\n")).alias("head"), escape(text).alias("body"))
+    turns = branch_messages(tree, branches).withColumn("conv", _held("conv")).join(said, ["conv", "node"])
     # positions by lengths before the text is gathered
     length = F.char_length("head") + F.char_length("body") + len(END)
     before = F.sum(length).over(Window.partitionBy("conv", "branch").orderBy("place")) - length
     turns = turns.withColumn("start", (before + F.char_length("head")).cast("long"))
     span = F.when(F.col("learn"), F.struct("start", F.char_length("body").cast("long").alias("length")))
     got = turns.groupBy("conv", "branch").agg(F.array_sort(F.collect_list(F.struct("place", F.concat("head", "body", F.lit(END)).alias("turn"), span.alias("span")))).alias("t"))
-    return got.select("conv", "branch", F.array_join(F.col("t.turn"), "").alias("formatted"), F.filter(F.col("t.span"), lambda s: s.isNotNull()).alias("loss"))
+    return got.select("conv.conv", "branch", F.array_join(F.col("t.turn"), "").alias("formatted"), F.filter(F.col("t.span"), lambda s: s.isNotNull()).alias("loss"))
 
 
 def read_back(formatted: Column) -> Column:

@@ -15,9 +15,13 @@ bucket links are sought in two steps, so that no bucket's pairs are emitted:
    and their one-bit sketches leave the threshold possible; a pair is taken in the
    first bucket that it shares, and only pairs that link are emitted.
 
-All links are confirmed on full shingle sets.  A pair at the threshold is lost by
-its sketches (4.5 deviations) with probability under 1e-5.  Two texts of similarity s share none with probability
-``(1 - s**ROWS)**(2 * HASHES / ROWS)``: 1e-5 at 0.85, 2e-4 at 0.8.
+All links are confirmed on full shingle sets.  The second step skips pairs that links
+found before connect; it finds them on the low 32 bits of the shingles, and if a full
+set then denies one of them, it is repeated on full sets, so no link goes by a
+denied one.  Two texts of similarity s share no band with probability
+``(1 - s**ROWS)**(2 * HASHES / ROWS)``: 8e-6 at 0.85, 3.6e-4 at 0.8.  A pair at the
+threshold is lost by its sketches with a smaller probability than that (the exact
+binomial tail, ``sketch_limit``).
 
 Defined results: a text without words (null, empty, white space) has the empty
 set, links with nothing and is kept; a text of fewer words than a shingle has
@@ -29,6 +33,9 @@ columns aren't read by ``link`` and are passed through by ``dedup``.
 
 from __future__ import annotations
 
+from functools import cache
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,6 +48,8 @@ HASHES, ROWS = 50, 5
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5
 #: Rows of a bucket in one tile, and texts that one task compares with a hub.
 TILE, HUB_ROWS = 1024, 4096
+#: Bits of a shingle in a brief set.
+BRIEF_BITS = 32
 #: Above this many rows of ids the join with the texts isn't a broadcast.
 BROADCAST_ROWS = 2_000_000
 _MULTIPLY = A.mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
@@ -124,9 +133,10 @@ def _sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
 def _with_sets(docs: DataFrame, more: DataFrame, key: str, text: str, width: int, brief: bool) -> DataFrame:
     """The rows of ``more`` (k and others, a row for each k) with the sorted shingle
-    hashes of their texts in ``set``; ``brief``: their low 32 bits.  The side without
+    hashes of their texts in ``set``; ``brief``: their low ``BRIEF_BITS`` bits.  The side without
     texts is broadcast if it has at most ``BROADCAST_ROWS`` rows; else it is a plain join."""
     small = more.count() <= BROADCAST_ROWS
+    bits = BRIEF_BITS
     named = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).join(F.broadcast(more) if small else more, "k")
 
     def start():
@@ -136,7 +146,7 @@ def _with_sets(docs: DataFrame, more: DataFrame, key: str, text: str, width: int
                 keys, bounds = shingles(block, width)
                 if brief:
                     owner = np.repeat(np.arange(len(block), dtype=np.uint64), np.diff(bounds))
-                    keys = np.sort((owner << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))).astype(np.uint32)
+                    keys = np.sort((owner << np.uint64(32)) | (keys & np.uint64((1 << bits) - 1))).astype(np.uint32)
                 parts.append(A.binary_rows(keys, bounds))
             return [pa.concat_arrays(parts)]
 
@@ -145,22 +155,24 @@ def _with_sets(docs: DataFrame, more: DataFrame, key: str, text: str, width: int
     return A.append_columns(named, "t", more.columns, [("set", "binary")], start)
 
 
+@cache
 def sketch_limit(numerator: int, denominator: int) -> int:
-    """Bits in which the sketches of texts at the threshold or above may differ:
-    the mean at the threshold and 4.5 deviations."""
-    p = (1 - numerator / denominator) / 2
-    return int(2 * HASHES * p + 4.5 * (2 * HASHES * p * (1 - p)) ** 0.5)
+    """Bits in which the sketches of texts at the threshold or above may differ: the least
+    number beyond which the binomial tail is smaller than the bands' own loss."""
+    s, n = numerator / denominator, 2 * HASHES
+    p, loss = (1 - s) / 2, (1 - s**ROWS) ** (n // ROWS)
+    tail = [comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)]
+    return next(k for k in range(n + 1) if sum(tail[k + 1 :]) <= loss)
 
 
-def _unit(t: pa.Table, numerator: int, denominator: int) -> list[tuple[int, int]]:
+def _unit(t: pa.Table, numerator: int, denominator: int, limit: int, kind=np.uint32) -> list[tuple[int, int]]:
     """Links of one bucket (or of two of its tiles) between different components,
-    found by sketches and brief sets; pairs that those found connect are skipped."""
+    found by sketches and sets; pairs that those found connect are skipped."""
     k, c, n, low, high, chunk = (t.column(x).to_numpy() for x in ("k", "c", "n", "low", "high", "chunk"))
     if (c == c[0]).all():
         return []
     band, cross = t.column("band")[0].as_py(), t.column("ti")[0].as_py() != t.column("tj")[0].as_py()
     bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(k), -1)
-    limit = sketch_limit(numerator, denominator)
     left, right, far = [], [], []
     for i in range(len(k) - 1):
         d = np.bitwise_count(low[i] ^ low[i + 1 :]) + np.bitwise_count(high[i] ^ high[i + 1 :])
@@ -181,7 +193,7 @@ def _unit(t: pa.Table, numerator: int, denominator: int) -> list[tuple[int, int]
 
     def of(x: int) -> np.ndarray:
         if x not in sets:
-            sets[x] = np.frombuffer(brief[x].as_py(), np.uint32)
+            sets[x] = np.frombuffer(brief[x].as_py(), kind)
         return sets[x]
 
     def root(x: int) -> int:
@@ -202,7 +214,7 @@ def _unit(t: pa.Table, numerator: int, denominator: int) -> list[tuple[int, int]
     return found
 
 
-def _mixed_links(members: DataFrame, sizes: DataFrame, numerator: int, denominator: int) -> DataFrame:
+def _mixed_links(members: DataFrame, sizes: DataFrame, numerator: int, denominator: int, kind=np.uint32) -> DataFrame:
     """(a, b): links between members of one bucket in different components.  Buckets
     are cut into tiles of about TILE rows; each pair of tiles is a unit of work."""
     A.ship(members.sparkSession)
@@ -212,6 +224,8 @@ def _mixed_links(members: DataFrame, sizes: DataFrame, numerator: int, denominat
     parts = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = rows.select("band", "ti", "tj", "k", "c", "n", "low", "high", "bands", "brief", "chunk").repartition(parts, "band", "ti", "tj").sortWithinPartitions("band", "ti", "tj", "k")
 
+    limit = sketch_limit(numerator, denominator)
+
     def run(batches):
         rest = None
         for whole in batches:
@@ -221,11 +235,11 @@ def _mixed_links(members: DataFrame, sizes: DataFrame, numerator: int, denominat
                 key = [t.column(x).to_numpy() for x in ("band", "ti", "tj")]
                 new = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in key])) + 1
                 ends = new.tolist()
-                found = [p for f, e in zip([0, *ends], ends) for p in _unit(t.slice(f, e - f), numerator, denominator)]
+                found = [p for f, e in zip([0, *ends], ends) for p in _unit(t.slice(f, e - f), numerator, denominator, limit, kind)]
                 rest = t.slice(ends[-1] if ends else 0)  # the last unit may go on
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
-        if rest is not None and (found := _unit(rest, numerator, denominator)):
+        if rest is not None and (found := _unit(rest, numerator, denominator, limit, kind)):
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
@@ -290,9 +304,15 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     mixed = seen.groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("band")
     side = A.table(seen.join(mixed, "band", "left_semi").groupBy("k", "c").agg(F.collect_list("band").alias("in")).join(reps.select("k", "n", "low", "high", "bands"), "k"), "mixed")
     sizes = side.select(F.explode("in").alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("m"))
-    side = _with_sets(docs, side, key, text, width, True).withColumnRenamed("set", "brief").withColumn("band", F.explode("in")).drop("in")
-    rest = A.table(_mixed_links(side, sizes, numerator, denominator).select(F.col("a").alias("hub"), F.col("b").alias("k")).distinct(), "rest")
+
+    def rest_of(brief: bool) -> DataFrame:
+        rows = _with_sets(docs, side, key, text, width, brief).withColumnRenamed("set", "brief").withColumn("band", F.explode("in")).drop("in")
+        return A.table(_mixed_links(rows, sizes, numerator, denominator, np.uint32 if brief else np.uint64).select(F.col("a").alias("hub"), F.col("b").alias("k")).distinct(), "rest")
+
+    rest = rest_of(True)
     more = A.table(_confirm(rest, docs, key, text, width, numerator, denominator), "confirmed")
+    if more.count() < rest.count():  # a denied pair may have stood for others: once more on full sets
+        more = A.table(_confirm(rest_of(False), docs, key, text, width, numerator, denominator), "confirmed")
     label = components(links.union(more))
     of_set = reps.join(label.withColumnRenamed("node", "k"), "k", "left").select("f", "g", F.coalesce("component", "k").alias("component_id"))
     placed = rows.filter(~alone).select("k", "n", "f", "g").join(of_set, ["f", "g"]).select("k", "n", "component_id")

@@ -62,7 +62,7 @@ def difference(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums[-1], np.stack(place[:m])
 
 
-def _level(units: DataFrame, shards: int) -> DataFrame:
+def _level(units: DataFrame, shards: int, blocks: int) -> DataFrame:
     """units: block, unit, sizes (array<bigint>) -> block, unit, place (array<int>), and
     for each block one row of unit null with its final sizes."""
 
@@ -78,7 +78,10 @@ def _level(units: DataFrame, shards: int) -> DataFrame:
         sums = pa.array([*[None] * len(place), total.tolist()], pa.list_(pa.int64()))
         return pa.table({"block": pa.array([key[0].as_py()] * (len(place) + 1), pa.int64()), "unit": pa.array([*t.column("unit").to_pylist(), None], pa.int64()), "place": lists, "sums": sums})
 
-    return units.groupBy("block").applyInArrow(run, "block long, unit long, place array<int>, sums array<bigint>")
+    # blocks are few rows and much work: a stated number of partitions isn't merged by its bytes
+    spark = units.sparkSession
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return units.repartition(min(blocks, most), "block").groupBy("block").applyInArrow(run, "block long, unit long, place array<int>, sums array<bigint>")
 
 
 def assign(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -94,13 +97,13 @@ def assign(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text"
     block_of = lambda b, c: F.pmod(F.col(c), F.lit(b)).cast("long")
     # a group's number within its block is its place in the block's order of hashes
     numbered = A.table(groups.withColumn("block", block_of(blocks, "h")).withColumn("unit", F.row_number().over(Window.partitionBy("block").orderBy("h", "g")).cast("long")), "units")
-    got = A.table(_level(numbered.select("block", "unit", F.array("bytes").alias("sizes")), shards), "level")
+    got = A.table(_level(numbered.select("block", "unit", F.array("bytes").alias("sizes")), shards, blocks), "level")
     # slot 0 of a single group is the only one that holds bytes
     found = numbered.join(got.filter("unit is not null").select("block", "unit", F.col("place")[0].alias("slot")), ["block", "unit"]).select("h", "g", "block", "slot")
     while blocks > 1:
         upper = max(1, -(-blocks // BLOCK))
         units = got.filter("unit is null").select(F.pmod(F.xxhash64("block"), F.lit(upper)).alias("block"), F.col("block").alias("unit"), F.col("sums").alias("sizes"))
-        got = A.table(_level(units, shards), "level")
+        got = A.table(_level(units, shards, upper), "level")
         step = got.filter("unit is not null").select(F.col("unit").alias("block"), F.col("block").alias("upper"), "place")
         found = found.join(step, "block").select("h", "g", F.col("upper").alias("block"), F.element_at("place", F.col("slot") + 1).alias("slot"))
         blocks = upper
