@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,6 +136,65 @@ def test_quality_held_out(spark, edge):
     assert quality_classifier.score(edge.limit(0), labels).count() == 0
 
 
+def test_one_round_of_cotraining_by_hand(spark):
+    """Counts of labels, calibrations and exchanged pseudo-labels as plain loops give them (no two words share a slot)."""
+    q = quality_classifier
+    docs, labels = labelled_corpus(spark, 300)
+    docs = docs.withColumns({"source": F.when(F.col("doc_id") % 8 == 0, "spam").otherwise("books"), "n_chars": F.char_length("text")})
+    labels = labels.filter("doc_id < 200")
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    y = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None}
+    fold = lambda k: zlib.crc32(str(k).encode()) % 4
+    block = lambda r: next(q.A.text_blocks(pa.array([r["text"]], pa.string())))
+    words = {k: set((r["text"] or "").lower().replace("|", " ").replace(".", " ").split()) for k, r in rows.items()}
+    layout = {k: q.layout_of(block(r))[0].tolist() for k, r in rows.items()}
+    meta = {k: q.metadata_of([r["lang"]], [r["source"]], [r["n_chars"]])[0].tolist() for k, r in rows.items()}
+    views, slots = (words, layout, meta), (q.WORD_SLOTS, q.LAYOUT_SLOTS, q.META_SLOTS)
+
+    def ratios(counts):
+        got = {}
+        for k in rows:
+            x = []
+            for view, n, c in zip(views, slots, counts):
+                total = [sum(v.values()) + 0.5 * n for v in c]
+                r = [np.log((c[1][f] + 0.5) / total[1]) - np.log((c[0][f] + 0.5) / total[0]) if c[0][f] + c[1][f] else 0.0 for f in view[k]]
+                x.append(sum(r) / max(len(r), 1) if view is words else sum(r))
+            got[k] = x
+        return got
+
+    def calibrated(x):
+        some = [k for k in y if fold(k) == 3 and k in rows]
+        return [q.A.logistic(np.array([x[k] for k in some])[:, own], np.array([y[k] for k in some], float)) for own in (q.CONTENT, q.METADATA, slice(0, 3))]
+
+    def counted(into, k, c, which, weight):
+        for i in which:
+            for f in views[i][k]:
+                into[i][c][f] += weight
+
+    known = [[Counter(), Counter()] for _ in views]
+    for k, c in y.items():
+        if fold(k) in (0, 1) and k in rows:
+            counted(known, k, c, (0, 1, 2), 1)
+    x = ratios(known)
+    w = calibrated(x)
+    exchanged = 0
+    for k in rows:
+        if k in y and fold(k) != 2:
+            continue
+        for own, weights, other in ((q.CONTENT, w[0], (2,)), (q.METADATA, w[1], (0, 1))):
+            p = q._probability(weights, np.array([x[k][own]]))[0]
+            if p >= q.CONFIDENT or p <= 1 - q.CONFIDENT:
+                counted(known, k, int(p >= q.CONFIDENT), other, q.PSEUDO)
+                exchanged += 1
+    x = ratios(known)
+    w = calibrated(x)
+    assert exchanged > 20
+    got = {r["doc_id"]: r for r in q.score(docs, labels, rounds=1).collect()}
+    for k in rows:
+        want = [q._probability(v, np.array([x[k]])[:, own])[0] for v, own in zip(w, (q.CONTENT, q.METADATA, slice(0, 3)))]
+        assert [got[k]["content_score"], got[k]["metadata_score"], got[k]["score"]] == pytest.approx(want, abs=2e-3), k
+
+
 def groups(pairs, nodes):
     parent = {x: x for x in nodes}
 
