@@ -12,9 +12,11 @@ and read again.  All but the last return the columns of documents.
   at two places or more from all of them (whole characters only); a document of which nothing is left stays, empty.
 - packing cuts the token streams into sequences of at most 2048 tokens.
 
+Columns of the input may have any names: inside a stage they go by numbers, so that none
+clashes with a result of its operator.  Empty documents tables pass through.
+
 ORACLE_SQL is None: SQL can express neither the learnt models nor the packing.
-The tests hold the operators but not the stages against brute force; of the
-stages they check columns, types and that rows remain.
+tests/llm/test_pipeline.py holds each stage, with these parameters, against plain loops.
 """
 
 from __future__ import annotations
@@ -28,24 +30,45 @@ from tidemill.llm import arrays, minhash_dedup, packing, quality_rules, suffix_d
 PASSAGE_BYTES = 200
 
 
+KEY, TEXT, LANG = "doc_id", "text", "lang"
+
+
+class Apart:
+    """docs with numbered columns, and the way back to their names."""
+
+    def __init__(self, docs: DataFrame) -> None:
+        self.names = docs.columns
+        self.docs = docs.toDF(*[f"_{i}" for i in range(len(self.names))])
+
+    def of(self, name: str) -> str:
+        return f"_{self.names.index(name)}"
+
+    def back(self, df: DataFrame) -> DataFrame:
+        return df.select(*self.docs.columns).toDF(*self.names)
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.score(docs, labels, docs.columns)
-    return scored.filter(F.col("predicted") == 0).select(docs.columns)
+    x = Apart(docs)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col(KEY).alias(x.of(KEY)), "toxic")
+    return x.back(toxicity.score(x.docs, labels, x.docs.columns, x.of(KEY), x.of(TEXT)).filter(F.col("predicted") == 0))
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(docs, docs.columns).filter("kept").select(docs.columns)
+    x = Apart(docs)
+    return x.back(quality_rules.judge(x.docs, x.docs.columns, x.of(TEXT), x.of(LANG)).filter("kept"))
 
 
 def minhash_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash_dedup.dedup(docs)
+    x = Apart(docs)
+    return x.back(minhash_dedup.dedup(x.docs, x.of(KEY), x.of(TEXT)))
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keep = [c for c in docs.columns if c not in ("text", "n_chars")]
-    left = suffix_dedup.cut(docs, keep, length=PASSAGE_BYTES, whole_characters=True).withColumn("text", F.col("kept").cast("string"))
-    return left.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    x = Apart(docs)
+    left = suffix_dedup.cut(x.docs, x.docs.columns, x.of(TEXT), PASSAGE_BYTES, whole_characters=True).withColumn(x.of(TEXT), F.col("kept").cast("string"))
+    if "n_chars" in x.names:
+        left = left.withColumn(x.of("n_chars"), F.char_length(x.of(TEXT)).cast("long"))
+    return x.back(left)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
