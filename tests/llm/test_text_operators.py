@@ -206,9 +206,10 @@ def brute_passages(texts, length):
         out[d] = gone
     return raw, out
 
-@pytest.mark.parametrize(("length", "tree"), [(400, 32_768), (60, 32_768), (120, 2)])
-def test_passages(edge, texts, length, tree, monkeypatch):
+@pytest.mark.parametrize(("length", "tree", "hot"), [(400, 32_768, 4096), (60, 32_768, 2), (120, 2, 4096), (120, 2, 3)])
+def test_passages(edge, texts, length, tree, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "TREE_CONTEXTS", tree)  # 2: by window hashes
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", hot)  # 2, 3: common contexts and windows are spread
     raw, gone = brute_passages(texts, length)
     for r in suffix_dedup.cut(edge, ["doc_id", "kept"], length=length).collect():
         b, g = raw[r["doc_id"]], gone[r["doc_id"]]
@@ -223,3 +224,18 @@ def test_intervals_of_a_suffix_array():
     common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
     lcp = [common(a, b) for a, b in zip(suffixes, suffixes[1:])]
     assert set(suffix_dedup.intervals(lcp)) == {(3, 1, 2), (1, 0, 2), (2, 4, 5)}
+
+@pytest.mark.parametrize(("length", "tree"), [(60, 32_768), (120, 2)])
+def test_repeats_have_all_their_occurrences(edge, texts, length, tree, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "TREE_CONTEXTS", tree)
+    raw, gone = brute_passages(texts, length)
+    found, covered = defaultdict(set), {d: np.zeros(len(b), bool) for d, b in raw.items()}
+    for r in suffix_dedup.groups(edge, length=length).collect():
+        found[r["name"]].add((r["doc_id"], r["begin"], r["end"]))
+        covered[r["doc_id"]][r["begin"] : r["end"]] = True
+    assert found and all((covered[d] == gone[d]).all() for d in raw)
+    for places in found.values():
+        strings = {raw[d][a:b] for d, a, b in places}
+        assert len(strings) == 1 and len(places) > 1 and len(s := strings.pop()) >= length
+        assert places == {(d, m.start(), m.start() + len(s)) for d, b in raw.items() for m in re.finditer(b"(?=" + re.escape(s) + b")", b)}
+    assert suffix_dedup.groups(empty(edge)).count() == 0

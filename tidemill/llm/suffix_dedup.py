@@ -19,7 +19,9 @@ to find each other:
 A key with more than ``TREE_CONTEXTS`` different contexts (a passage that a large
 share of all texts hold) isn't gathered: its windows are hashed one by one and
 counted, before the shuffle already, which is exact as well and grows with the
-rows only.
+rows only.  ``groups`` returns the maximal repeats with all their occurrences, those of
+equal contexts among them; ``cut`` needs no more than what they cover, so that it
+takes a member's longest repeats alone and leaves equal contexts to their hashes.
 
 Defined results: a null text counts as empty; texts shorter than ``length`` have
 nothing removed; equal texts (in any rows, whatever their keys) remove each other; matches never
@@ -32,6 +34,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,6 +139,12 @@ class Suffixes:
         inside = np.arange(width + 1) < self.sizes[:, None]
         self.bytes[inside] = raw[off[0] : off[-1]]
 
+    def part(self, first: int, n: int) -> Suffixes:
+        """n rows from the first on."""
+        got = object.__new__(Suffixes)
+        got.sizes, got.bytes = self.sizes[first : first + n], self.bytes[first : first + n]
+        return got
+
     def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Lengths of the common prefixes of rows i and j; the end of a row equals nothing."""
         out = np.zeros(len(i), np.int64)
@@ -185,8 +194,44 @@ def repeats(lcp: np.ndarray, left: Suffixes, rows: np.ndarray, length: int) -> l
     return out
 
 
-def _covered(contexts: DataFrame, length: int) -> DataFrame:
-    """key, ctx, l, r: repeats around anchors, from contexts partitioned by key and sorted by suffix."""
+def repeat_groups(lcp: np.ndarray, left: Suffixes, length: int) -> list[tuple[int, int, int]]:
+    """(row, bytes left of the anchor, bytes right of it) of every member of every maximal repeat
+    of one key's contexts, whose suffixes are in order: the intervals of common prefixes, and within
+    each those of common left extensions; where the extensions differ a repeat can't be longer."""
+    out = []
+    order = np.array(sorted(range(len(lcp) + 1), key=lambda k: left.bytes[k, : left.sizes[k]].tobytes()))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    for depth, first, last in intervals(lcp.tolist()):
+        member = np.arange(first, last + 1)
+        member = member[np.argsort(rank[member])]
+        near = left.common(member[:-1], member[1:])
+        for l, i, j in [*intervals(near.tolist()), *([(0, 0, len(near))] if near.min() == 0 else [])]:
+            if l + depth >= length:
+                out += [(m, l, depth) for m in member[i : j + 1].tolist()]
+    return out
+
+
+def _named(left: Suffixes, right: Suffixes, i: np.ndarray, l: np.ndarray, r: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of repeats of l bytes left of their anchor and r right of it: hashes of their strings, and whether
+    a window inside chooses the anchor, so that every occurrence has it.  What the anchor's reach
+    cuts from a longer repeat need not; windows of the rest choose other anchors."""
+    strings = [left.bytes[k, :a][::-1].tobytes() + right.bytes[k, :b].tobytes() for k, a, b in zip(i.tolist(), l.tolist(), r.tolist())]
+    names = np.fromiter(map(xxhash.xxh3_64_intdigest, strings), np.uint64, len(strings))
+    own = np.zeros(len(strings), bool)
+    for first in range(0, len(strings), 1024):
+        part = strings[first : first + 1024]
+        block = A.Block(0, len(part), np.frombuffer(b"".join(part), np.uint8), np.r_[0, np.cumsum([len(x) for x in part])])
+        text, at, _, _ = anchors(block, length)
+        own[first + text[at - block.offsets[text] == l[first + text]]] = True
+    return names, own
+
+
+def _covered(contexts: DataFrame, length: int, whole: bool = False) -> DataFrame:
+    """key, ctx, l, r, name: repeats around anchors, from contexts partitioned by key and sorted by
+    suffix.  With ``whole`` all members of all maximal repeats, named by their strings (and
+    contexts that are a row twice as repeats of their own: column n); else each member's
+    longest ones, without names."""
 
     def work(t: pa.Table) -> pa.RecordBatch | None:
         t = t.combine_chunks()
@@ -199,26 +244,35 @@ def _covered(contexts: DataFrame, length: int) -> DataFrame:
         lcp[pairs] = right.common(pairs, pairs + 1)
         starts = np.flatnonzero(np.r_[True, ~same])
         sizes = np.diff(np.r_[starts, n])
-        two = starts[sizes == 2]
-        ext = left.common(two, two + 1)
-        hit = ext + lcp[two] >= length
-        rows = [np.r_[two[hit], two[hit] + 1]]
-        ls, rs = [np.r_[ext[hit], ext[hit]]], [np.r_[lcp[two][hit], lcp[two][hit]]]
-        for s, m in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            got = repeats(lcp[s : s + m - 1], left, np.arange(s, s + m), length)
+        if whole:
+            # a context that several places hold is a repeat itself
+            own = np.flatnonzero((t.column(4).to_numpy() > 1) & (left.sizes + right.sizes >= length))
+            rows, ls, rs = [own], [left.sizes[own]], [right.sizes[own]]
+        else:
+            two = starts[sizes == 2]
+            ext = left.common(two, two + 1)
+            hit = ext + lcp[two] >= length
+            rows = [np.r_[two[hit], two[hit] + 1]]
+            ls, rs = [np.r_[ext[hit], ext[hit]]], [np.r_[lcp[two][hit], lcp[two][hit]]]
+        for s, m in zip(starts[sizes > 2 - whole].tolist(), sizes[sizes > 2 - whole].tolist()):
+            got = [(s + i, a, b) for i, a, b in repeat_groups(lcp[s : s + m - 1], left.part(s, m), length)] if whole else repeats(lcp[s : s + m - 1], left, np.arange(s, s + m), length)
             if got:
                 i, a, b = (np.array(x, np.int64) for x in zip(*got))
                 rows.append(i), ls.append(a), rs.append(b)
-        i = np.concatenate(rows)
+        i, l, r = np.concatenate(rows), np.concatenate(ls), np.concatenate(rs)
         if not len(i):
             return None
-        return pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(ctx[i]), pa.array(np.concatenate(ls)), pa.array(np.concatenate(rs))], names=["key", "ctx", "l", "r"])
+        name = pa.nulls(len(i), pa.int64())
+        if whole:
+            name, own = _named(left, right, i, l, r, length)
+            i, l, r, name = i[own], l[own], r[own], A.long_array(name[own])
+        return pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(ctx[i]), pa.array(l), pa.array(r), name], names=["key", "ctx", "l", "r", "name"])
 
     def run(batches):
         rest = None
-        for whole in batches:
-            for i in range(0, whole.num_rows, 2048):
-                b = pa.Table.from_batches([whole.slice(i, 2048)])
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2048):
+                b = pa.Table.from_batches([batch.slice(i, 2048)])
                 t = pa.concat_tables([rest, b]) if rest is not None else b
                 keys = t.column(0).to_numpy()
                 cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
@@ -232,11 +286,12 @@ def _covered(contexts: DataFrame, length: int) -> DataFrame:
             if got is not None:
                 yield got
 
-    return contexts.mapInArrow(run, "key long, ctx long, l long, r long")
+    return contexts.mapInArrow(run, "key long, ctx long, l long, r long, name long")
 
 
-def spans_of(docs: DataFrame, text: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """(texts: t, h, g of every row; covered: h, g, spans of repeated passages by text)."""
+def _anchored(docs: DataFrame, text: str, length: int):
+    """texts (t, h, g of every row); rows (key, ctx, h, g, pos, m: anchors of keys seen twice or more); by_ctx
+    (key, ctx, n and one place of each context); kinds (key, kinds: different contexts, two or more)."""
     A.ship(docs.sparkSession)
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     texts = docs.select(t.alias("t"), *_name(t))
@@ -247,10 +302,37 @@ def spans_of(docs: DataFrame, text: str = "text", length: int = LENGTH) -> tuple
     rows = A.table(rows.join(seen, "key", "left_semi"), "anchors")
     by_ctx = A.table(rows.groupBy("key", "ctx").agg(F.sum("m").alias("n"), F.min(F.struct("h", "g", "pos")).alias("r")), "contexts")
     kinds = A.table(by_ctx.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "kinds")
-    several = by_ctx.join(kinds, "key").select("key", "ctx", "kinds", "r.*")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    sorted_ = _contexts(texts, several.filter(F.col("kinds") <= TREE_CONTEXTS), length).repartition(parts, "key").sortWithinPartitions("key", "rgt", "lft")
-    tree = _covered(sorted_, length)
+    return texts, rows, by_ctx, kinds
+
+
+def _in_order(contexts: DataFrame) -> DataFrame:
+    """The enhanced suffix arrays' order: each key's contexts by suffix."""
+    parts = max(int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return contexts.repartition(parts, "key").sortWithinPartitions("key", "rgt", "lft")
+
+
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+    """name, key, begin, end: maximal repeats of ``length`` bytes or more with all of their occurrences.
+
+    A repeat is as long as all its occurrences allow within the reach of an anchor (``length``
+    bytes on either side); a longer passage is several overlapping repeats.  Around keys of more
+    than ``TREE_CONTEXTS`` contexts the repeats are single windows.  ``name`` is a hash of the string."""
+    texts, rows, by_ctx, kinds = _anchored(docs, text, length)
+    some = by_ctx.join(kinds, "key", "left").filter("n > 1 or kinds > 1").select("key", "ctx", F.coalesce("kinds", F.lit(1)).alias("kinds"), "n", "r.*")
+    held = _contexts(texts, some.filter(F.col("kinds") <= TREE_CONTEXTS), length).join(by_ctx.select("key", "ctx", "n"), ["key", "ctx"])
+    found = A.table(_covered(_in_order(held), length, whole=True).distinct(), "repeats")
+    places = A.table(rows.select("key", "ctx", "h", "g", "pos").join(found, ["key", "ctx"]).select("name", "h", "g", (F.col("pos") - F.col("l")).alias("begin"), (F.col("pos") + F.col("r")).alias("end")), "places")
+    hot = _hot_windows(texts, some.filter(F.col("kinds") > TREE_CONTEXTS).select("key").distinct(), rows, length)
+    places = places.union(hot.select(F.col("w").alias("name"), "h", "g", F.col("p").alias("begin"), (F.col("p") + length).alias("end"))).distinct()
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return docs.select(F.col(key), *_name(t)).join(places, ["h", "g"]).select("name", key, "begin", "end")
+
+
+def spans_of(docs: DataFrame, text: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+    """(texts: t, h, g of every row; covered: h, g, spans of repeated passages by text)."""
+    texts, rows, by_ctx, kinds = _anchored(docs, text, length)
+    several = by_ctx.join(kinds, "key").select("key", "ctx", "kinds", "r.*", "n")
+    tree = _covered(_in_order(_contexts(texts, several.filter(F.col("kinds") <= TREE_CONTEXTS), length)), length).drop("name")
     whole = by_ctx.filter("n > 1").select("key", "ctx", F.lit(length - min(GRAM, length)).cast("long").alias("l"), F.lit(length).cast("long").alias("r"))
     found = A.table(tree.union(whole), "repeats")
     best = A.table(found.groupBy("key", "ctx").agg(F.collect_set(F.struct("l", "r")).alias("all")), "repeats")
@@ -290,8 +372,8 @@ def _spread_join(rows: DataFrame, right: DataFrame, counts: DataFrame, keys: lis
     return left.join(right.join(F.broadcast(common), keys, "left").withColumn("salt", copies).drop("salts"), [*keys, "salt"]).drop("salt")
 
 
-def _hot_spans(texts: DataFrame, keys: DataFrame, rows: DataFrame, length: int) -> DataFrame:
-    """h, g, s: repeated windows of the anchors of very common keys."""
+def _hot_windows(texts: DataFrame, keys: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+    """w, h, g, p: repeated windows (hash, text, place) of the anchors of very common keys."""
     at = A.table(rows.join(keys, "key", "left_semi").groupBy("h", "g").agg(F.collect_list("pos").alias("at"), F.max("m").alias("m")), "common")
     one = texts.dropDuplicates(["h", "g"]).join(at, ["h", "g"]).select("t", "at", "m", "h", "g")
 
@@ -325,8 +407,12 @@ def _hot_spans(texts: DataFrame, keys: DataFrame, rows: DataFrame, length: int)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), h[row])), pa.array(np.full(len(p), g[row])), pa.array(p), A.long_array(w)], names=["h", "g", "p", "w"])
 
     twice = A.table(one.mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).filter("n > 1"), "windows")
-    hit = _spread_join(one.mapInArrow(place, "h long, g long, p long, w long"), twice.select("w"), twice, ["w"])
-    return hit.select("h", "g", _span(F.col("p"), F.lit(length), length).alias("s"))
+    return _spread_join(one.mapInArrow(place, "h long, g long, p long, w long"), twice.select("w"), twice, ["w"])
+
+
+def _hot_spans(texts: DataFrame, keys: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+    """h, g, s: the spans of those windows."""
+    return _hot_windows(texts, keys, rows, length).select("h", "g", _span(F.col("p"), F.lit(length), length).alias("s"))
 
 
 def cut(docs: DataFrame, keep: list[str], text: str = "text", length: int = LENGTH, whole_characters: bool = False) -> DataFrame:
