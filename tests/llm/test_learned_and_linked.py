@@ -96,10 +96,10 @@ def test_toxicity_models_by_the_book(spark, monkeypatch, way):
     if way == "ranges":  # models of several key ranges
         monkeypatch.setattr(toxicity.A, "PIECE_ROWS", 2000)
     train = spark.createDataFrame(rows, "doc_id long, text string, y int").repartition(3)
-    model = toxicity.model_tables(train, "text")
+    model = toxicity.learn(train, "text")
     if way != "joins":
-        model = toxicity._pieces(model)
-        assert model["pairs"].many == (way == "ranges")
+        model = model.pieces()
+        assert model.pairs.many == model.words.many == (way == "ranges")
     other = [(900, "unknown w1 w2 unknown w3", 0), (901, "", 0), (902, None, 0), (903, "w1 w2 " * 3, 0)]
     docs = train.union(spark.createDataFrame(other, "doc_id long, text string, y int"))
     got = {r["doc_id"]: r["features"] for r in toxicity._scored(docs, model, None, ["doc_id"], "text", True).collect()}

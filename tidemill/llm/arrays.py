@@ -87,7 +87,7 @@ def taken(shared):
 
 
 #: Rows of one piece of a table that workers look up: a worker's memory follows this, not the table.
-PIECE_ROWS = 4_000_000
+PIECE_ROWS = 2_000_000
 
 
 class Pieces:
@@ -130,25 +130,34 @@ class Pieces:
     def find(self, keys: list[np.ndarray], blank: float) -> list[np.ndarray]:
         """The values of each array of keys (signed), ``blank`` where the table hasn't a key;
         one number a key if the table has one column of values."""
-        out = None
-        for lo, hi, shared in self.shared:
-            if self.many:
-                have, values = taken(shared)
-            else:
-                held = only(self.owner, dict)
-                if self.name not in held:
-                    held[self.name] = taken(shared)
-                have, values = held[self.name]
-            out = out or [np.full((len(k), values.shape[1]), blank, np.float32) for k in keys]
-            if not len(have):
-                continue
-            for k, o in zip(keys, out):
-                own = np.flatnonzero((k >= lo) & (k <= hi)) if self.many else slice(None)
-                k = k[own]
+        if not self.many:
+            held = only(self.owner, dict)
+            if self.name not in held:
+                held[self.name] = taken(self.shared[0][2])
+            have, values = held[self.name]
+            out = [np.full((len(k), values.shape[1]), blank, np.float32) for k in keys]
+            for k, o in zip(keys, out if len(have) else ()):
                 at = np.searchsorted(have, k)
                 at[at == len(have)] = 0
                 hit = have[at] == k
-                o[own[hit] if self.many else hit] = values[at[hit]]
+                o[hit] = values[at[hit]]
+        else:
+            # ascending keys meet each piece once, and in the order of its own
+            flat = np.concatenate(keys)
+            order = np.argsort(flat)
+            flat, out = flat[order], None
+            for lo, hi, shared in self.shared:
+                have, values = taken(shared)
+                if out is None:
+                    out = np.full((len(flat), values.shape[1]), blank, np.float32)
+                first, last = np.searchsorted(flat, lo), np.searchsorted(flat, hi, "right")
+                if len(have) and last > first:
+                    at = np.searchsorted(have, flat[first:last])
+                    at[at == len(have)] = 0
+                    hit = have[at] == flat[first:last]
+                    out[order[first:last][hit]] = values[at[hit]]
+                del have, values  # before the next is loaded
+            out = np.split(out, np.cumsum([len(k) for k in keys])[:-1])
         return [o[:, 0] if o.shape[1] == 1 else o for o in out]
 
 
@@ -412,8 +421,13 @@ class Tally:
 
 
 def sum_by(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Sums of ``values[bounds[i]:bounds[i+1]]``; 0 where that is empty."""
-    total = np.zeros(len(values) + 1, values.dtype if values.dtype.kind == "f" else np.int64)
+    """Sums of ``values[bounds[i]:bounds[i+1]]``; 0 where that is empty.  Equal ranges have equal sums, wherever they lie."""
+    if values.dtype.kind == "f":
+        out, some = np.zeros(len(bounds) - 1), np.diff(bounds) > 0
+        if some.any():
+            out[some] = np.add.reduceat(values[: bounds[-1]], bounds[:-1][some])
+        return out
+    total = np.zeros(len(values) + 1, np.int64)
     np.cumsum(values, out=total[1:])
     return total[bounds[1:]] - total[bounds[:-1]]
 

@@ -36,6 +36,7 @@ Columns of ``keep`` that clash with a result column are replaced by it.
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -101,57 +102,67 @@ def _discount(ones, twos) -> float:
     return min(max(ones / (ones + 2 * twos), 0.1), 0.95) if ones else 0.5
 
 
-def model_tables(train: DataFrame, text: str) -> dict[str, DataFrame]:
-    """words (key, v0, v1: p_c(w)), rest (key, v0, v1: rest_c(v)) and pairs (key, v0, v1: what
-    p_c(w | v) has beyond rest_c(v) * p_c(w)), whole."""
+#: What the words table holds of a word w: p_c(w) and, as a context, its counts and different followers in each class and in both.
+WORD_VALUES = ("p0", "p1", "s0", "s1", "s", "k0", "k1", "k")
+
+
+@dataclass(frozen=True)
+class Model:
+    """words (key, *WORD_VALUES) and pairs (key, n0, n1), whole, and the discounts D of the classes and of both."""
+
+    words: DataFrame | A.Pieces
+    pairs: DataFrame | A.Pieces
+    cuts: tuple[float, float, float]
+
+    def pieces(self) -> Model:
+        owner = uuid.uuid4().hex
+        return Model(A.Pieces.of(owner, self.words, values=WORD_VALUES), A.Pieces.of(owner, self.pairs, values=("n0", "n1")), self.cuts)
+
+
+def learn(train: DataFrame, text: str) -> Model:
     pairs = A.table(count_pairs(train, text), "pairs")
     many = lambda c, k: F.sum((F.expr(c) == k).cast("long"))
     sides = {"0": "n0", "1": "n1", "": "n0 + n1"}
     n = pairs.agg(*[many(e, k).alias(f"d{c}_{k}") for c, e in sides.items() for k in (1, 2)]).first()
-    d = {c: _discount(n[f"d{c}_1"], n[f"d{c}_2"]) for c in sides}
+    cuts = tuple(_discount(n[f"d{c}_1"], n[f"d{c}_2"]) for c in sides)
     word = A.table(pairs.groupBy("b").agg(*[F.sum((F.col(f"n{c}") > 0).cast("long")).alias(f"t{c}") for c in (0, 1)], F.count(F.lit(1)).alias("t")), "words")
     n = word.agg(*[many(f"t{c}", k).alias(f"t{c}{k}") for c in (0, 1) for k in (1, 2)], F.sum("t").alias("all"), *[F.sum(f"t{c}").alias(f"s{c}") for c in (0, 1)], *[F.sum((F.col(f"t{c}") > 0).cast("long")).alias(f"k{c}") for c in (0, 1)]).first()
     u = [_discount(n[f"t{c}1"], n[f"t{c}2"]) for c in (0, 1)]
     own = [F.greatest(F.col(f"t{c}") - u[c], F.lit(0.0)) / max((n[f"s{c}"] or 0) - u[c] * (n[f"k{c}"] or 0), 1e-9) for c in (0, 1)]
-    words = word.select(F.col("b").alias("key"), *[((1 - SHARED) * own[c] + SHARED * F.col("t") / max(n["all"] or 0, 1)).alias(f"v{c}") for c in (0, 1)])
-    # a written table: the join below is then free to split what a common word holds
-    held = [F.sum(F.expr(x)).alias(f"s{c}") for c, x in sides.items()] + [F.count_if(F.expr(x) > 0).alias(f"k{c}") for c, x in sides.items()]
-    context = A.table(pairs.groupBy("a").agg(*held), "contexts")
-
-    def mix(mine, shared, c: str):
-        """A class's part and the shared one, which stands alone where the class hasn't the context."""
-        return F.when(F.col(f"s{c}") > 0, (1 - SHARED) * mine / F.col(f"s{c}") + SHARED * shared / F.col("s")).otherwise(shared / F.col("s"))
-
-    rest = context.select(F.col("a").alias("key"), *[mix(d[c] * F.col(f"k{c}"), d[""] * F.col("k"), c).alias(f"v{c}") for c in ("0", "1")])
-    more = [mix(F.greatest(F.col(f"n{c}") - d[c], F.lit(0.0)), F.col("n0") + F.col("n1") - d[""], c).alias(f"v{c}") for c in ("0", "1")]
-    both = pairs.join(context, "a").select(_pair_column("a", "b").alias("key"), *more)
-    return {"words": words, "rest": rest, "pairs": A.table(both, "model")}
-
-
-def _pieces(tables: dict[str, DataFrame]) -> dict[str, A.Pieces]:
-    owner = uuid.uuid4().hex
-    return {n: A.Pieces.of(owner, t, values=("v0", "v1")) for n, t in tables.items()}
+    low = [((1 - SHARED) * own[c] + SHARED * F.col("t") / max(n["all"] or 0, 1)).alias(f"p{c}") for c in (0, 1)]
+    context = pairs.groupBy("a").agg(*[F.sum(F.expr(x)).alias(f"s{c}") for c, x in sides.items()], *[F.count_if(F.expr(x) > 0).alias(f"k{c}") for c, x in sides.items()])
+    both = word.select(F.col("b").alias("key"), *low).join(context.withColumnRenamed("a", "key"), "key", "full")
+    words = both.select("key", *[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v) for v in WORD_VALUES])
+    return Model(A.table(words, "words"), pairs.select(_pair_column("a", "b").alias("key"), "n0", "n1"), cuts)
 
 
-def features(blocks: list[A.Block], model: dict[str, A.Pieces]) -> np.ndarray:
+def features(blocks: list[A.Block], model: Model) -> np.ndarray:
     """Mean log-ratio, mean excess and share of exceeding words by pairs, the same by words alone, log length of each text."""
     tokens = [_tokens(b) for b in blocks]
-    signed = lambda keys: [k.view(np.int64) for k in keys]
-    word = model["words"].find(signed(b for _, b, _ in tokens), 0)
-    left = model["rest"].find(signed(a for a, _, _ in tokens), 1)
-    pairs = model["pairs"].find(signed(_pair(a, b) for a, b, _ in tokens), 0)
-    out = []
-    for (_, _, bounds), p, r, q in zip(tokens, word, left, pairs):
-        n, known, found = np.maximum(np.diff(bounds), 1), p[:, 0] > 0, []
-        for likely in (p * r + q, p):
-            ratio = np.where(known, np.log(np.maximum(likely[:, 1], 1e-12)) - np.log(np.maximum(likely[:, 0], 1e-12)), 0.0).astype(np.float64)
-            over = np.maximum(ratio - EXCESS, 0)
-            found += [A.sum_by(x, bounds) / n for x in (ratio, over, (over > 0).astype(np.float64))]
-        out.append(np.stack([*found, np.log1p(np.diff(bounds))], 1))
+    words = model.words.find([*(b.view(np.int64) for _, b, _ in tokens), np.zeros(1, np.int64)], 0)
+    pairs = model.pairs.find([_pair(a, b).view(np.int64) for a, b, _ in tokens], 0)
+    start, out = words.pop(), []
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for (_, _, bounds), word, n in zip(tokens, words, pairs):
+            # the word before is the context; a text begins in that of no word
+            before = np.r_[start, word[:-1]][: len(word)]
+            firsts = bounds[:-1]
+            before[firsts[firsts < len(word)]] = start
+            p, s, k = word[:, :2], before[:, 2:5], before[:, 5:]
+            n = np.c_[n, n.sum(1)]
+            own = np.where(s > 0, np.maximum(n - np.asarray(model.cuts), 0) / s, 0)
+            left = np.where(s > 0, np.asarray(model.cuts) * k / s, 1)
+            likely = [np.where(s[:, c] > 0, (1 - SHARED) * (own[:, c] + left[:, c] * p[:, c]) + SHARED * (own[:, 2] + left[:, 2] * p[:, c]), own[:, 2] + left[:, 2] * p[:, c]) for c in (0, 1)]
+            size, known, found = np.maximum(np.diff(bounds), 1), p[:, 0] > 0, []
+            for one, two in (likely, p.T):
+                ratio = np.where(known, np.log(np.maximum(two, 1e-12)) - np.log(np.maximum(one, 1e-12)), 0.0).astype(np.float64)
+                over = np.maximum(ratio - EXCESS, 0)
+                found += [A.sum_by(x, bounds) / size for x in (ratio, over, (over > 0).astype(np.float64))]
+            out.append(np.stack([*found, np.log1p(np.diff(bounds))], 1))
     return np.concatenate(out)
 
 
-def joined_features(docs: DataFrame, tables: dict[str, DataFrame], text: str) -> DataFrame:
+def joined_features(docs: DataFrame, model: Model, text: str) -> DataFrame:
     """(h, g, features) of the different texts of docs, by joins of their pairs with the models:
     nothing is broadcast, and a common pair's rows are Spark's to split.  h and g are two
     chained hashes of the text."""
@@ -170,15 +181,22 @@ def joined_features(docs: DataFrame, tables: dict[str, DataFrame], text: str) ->
 
     named = docs.select(_text(text).alias("t")).select("t", *_name("t"))
     held = A.table(named.dropDuplicates(["h", "g"]).mapInArrow(run, "h long, g long, a long, b long, key long, n long"), "tokens")
-    side = lambda name, key, x: tables[name].select(F.col("key").alias(key), *[F.col(f"v{c}").cast("float").cast("double").alias(f"{x}{c}") for c in (0, 1)])
-    got = held.join(side("pairs", "key", "q"), "key", "left").join(side("words", "b", "p"), "b", "left").join(side("rest", "a", "r"), "a", "left")
+    low = model.words.select(F.col("key").alias("b"), "p0", "p1")
+    context = model.words.select(F.col("key").alias("a"), *WORD_VALUES[2:])
+    got = held.join(model.pairs, "key", "left").join(low, "b", "left").join(context, "a", "left")
+    x = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    count = [x("n0"), x("n1"), x("n0") + x("n1")]
+    seen = [x(c) for c in ("s0", "s1", "s")]
+    own = [F.when(s > 0, F.greatest(n - d, F.lit(0.0)) / s).otherwise(0.0) for n, d, s in zip(count, model.cuts, seen)]
+    left = [F.when(s > 0, d * x(k) / s).otherwise(1.0) for k, d, s in zip(("k0", "k1", "k"), model.cuts, seen)]
+    by = lambda i, c: own[i] + left[i] * F.col(f"p{c}")
+    likely = [F.when(seen[c] > 0, (1 - SHARED) * by(c, c) + SHARED * by(2, c)).otherwise(by(2, c)) for c in (0, 1)]
     floor, size, found = F.lit(1e-12), F.sum("n"), []
-    paired = [F.col(f"p{c}") * F.coalesce(f"r{c}", F.lit(1.0)) + F.coalesce(f"q{c}", F.lit(0.0)) for c in (0, 1)]
     ratio = lambda p: F.when(F.col("p0") > 0, F.log(F.greatest(p[1], floor)) - F.log(F.greatest(p[0], floor))).otherwise(0.0)
-    got = got.select("h", "g", "n", ratio(paired).alias("ratio2"), ratio([F.col("p0"), F.col("p1")]).alias("ratio1"))
+    got = got.select("h", "g", "n", ratio(likely).alias("ratio2"), ratio([F.col("p0"), F.col("p1")]).alias("ratio1"))
     for c in ("ratio2", "ratio1"):
         over = F.greatest(F.col(c) - EXCESS, F.lit(0.0))
-        found += [F.sum(x * F.col("n")) / size for x in (F.col(c), over, (over > 0).cast("int"))]
+        found += [F.sum(v * F.col("n")) / size for v in (F.col(c), over, (over > 0).cast("int"))]
     sums = got.groupBy("h", "g").agg(F.array(*found, F.log1p(size)).alias("features"))
     return A.table(sums, "features")
 
@@ -191,17 +209,17 @@ def _name(t: str | Column) -> tuple[Column, Column]:
     return F.xxhash64(t).alias("h"), F.xxhash64(F.lit(1), t).alias("g")
 
 
-def _scored(docs: DataFrame, model, weights, keep: list[str], text: str, raw: bool) -> DataFrame:
+def _scored(docs: DataFrame, model: Model, weights, keep: list[str], text: str, raw: bool) -> DataFrame:
     """keep and the features (``raw``) or the score of every row."""
     new = "features" if raw else "score"
-    if isinstance(next(iter(model.values())), DataFrame):
+    if isinstance(model.pairs, DataFrame):
         keep = [c for c in dict.fromkeys(keep) if c.lower() != new]
         some = docs.select(*[F.col("`" + c.replace("`", "``") + "`").alias(f"k{i}") for i, c in enumerate(keep)], *_name(_text(text)))
         x = F.coalesce("features", F.array(*[F.lit(0.0)] * FEATURES))  # a text without words
         z = F.lit(0.0) if raw else sum((x[i] * float(w) for i, w in enumerate(weights[:-1])), F.lit(float(weights[-1])))
         out = some.join(joined_features(docs, model, text), ["h", "g"], "left")
         return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], (x if raw else 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))).alias(new))
-    many = any(t.many for t in model.values())
+    many = model.words.many or model.pairs.many
 
     def start():
         def work(column):
@@ -220,8 +238,8 @@ def score(docs: DataFrame, labels: DataFrame, keep: list[str], key: str = "doc_i
     """``keep``, score, held_out and predicted of every row; the model is learnt from ``labels``."""
     src = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     named = labels.select(F.col(key).alias("key"), F.col(label).alias("label"))
-    tables = model_tables(A.labelled(src, named, "key", "label", COUNTED), "text")
-    model = _pieces(tables) if tables["pairs"].count() <= MODEL_ROWS else tables
+    model = learn(A.labelled(src, named, "key", "label", COUNTED), "text")
+    model = model.pieces() if model.pairs.count() <= MODEL_ROWS else model
     some = A.labelled(src, named, "key", "label", CALIBRATED, CALIBRATION_ROWS)
     x, y = A.sample(_scored(some, model, None, ["key", "y"], "text", True), ["features"], FEATURES)
     weights = A.logistic(x, y)
