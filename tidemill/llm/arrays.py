@@ -61,9 +61,22 @@ def ship(spark) -> None:
 def table(df, name: str):
     """Writes df as Parquet in the shared folder and reads it back: cuts the
     lineage, survives the loss of executors."""
-    path = scratch(df.sparkSession, name)
+    spark = df.sparkSession
+    path = scratch(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    # the shuffles that made it are garbage now: Spark removes their files when the driver collects it
+    spark._jvm.System.gc()
+    got = spark.read.schema(df.schema).parquet(path)
+    got._tidemill_path = path
+    return got
+
+
+def drop(*tables) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._tidemill_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _heavy: dict[str, object] = {}
@@ -106,7 +119,7 @@ class Pieces:
         step = max(bits - 16, 0)
         n, ranges = df.count() if bits > 16 else 0, [(-(1 << 63), (1 << 63) - 1)]
         if n > PIECE_ROWS:
-            df = table(df, "pieces")  # read once for each range
+            df = whole = table(df, "pieces")  # read once for each range
             held, cuts = 0, []
             for b, m in sorted(tuple(r) for r in df.groupBy(F.shiftright(key, step).alias("b")).count().toLocalIterator()):
                 if held and held + m > PIECE_ROWS:
@@ -120,9 +133,25 @@ class Pieces:
             t = (df if len(ranges) == 1 else df.filter(F.col(key).between(lo, hi))).select(F.col(key).cast("long"), *[F.col(v).cast("float") for v in values]).toArrow()
             k, *v = (t.column(i).to_numpy() for i in range(1 + len(values)))
             order = np.argsort(k)
-            shared.append((lo, hi, df.sparkSession.sparkContext.broadcast((k[order], np.stack([x[order] for x in v], 1)))))
+            shared.append((lo, hi, df.sparkSession.sparkContext.broadcast((k[order], cls._packed(np.stack([x[order] for x in v], 1))))))
+        if len(ranges) > 1:
+            drop(whole)
         return cls(owner, shared)
 
+    @staticmethod
+    def _packed(values: np.ndarray):
+        """Pairs of values as codes of the different ones, if those are few."""
+        if values.shape[1] == 2 and len(values):
+            some, codes = np.unique(np.ascontiguousarray(values).view(np.uint64).ravel(), return_inverse=True)
+            if len(some) <= 1 << 16:
+                return codes.astype(np.uint16), some.view(np.float32).reshape(-1, 2)
+        return None, values
+
+    @staticmethod
+    def _rows(packed, at: np.ndarray) -> np.ndarray:
+        codes, values = packed
+        return values[at] if codes is None else values[codes[at]]
+
     @property
     def many(self) -> bool:
         return len(self.shared) > 1
@@ -135,12 +164,12 @@ class Pieces:
             if self.name not in held:
                 held[self.name] = taken(self.shared[0][2])
             have, values = held[self.name]
-            out = [np.full((len(k), values.shape[1]), blank, np.float32) for k in keys]
+            out = [np.full((len(k), values[1].shape[1]), blank, np.float32) for k in keys]
             for k, o in zip(keys, out if len(have) else ()):
                 at = np.searchsorted(have, k)
                 at[at == len(have)] = 0
                 hit = have[at] == k
-                o[hit] = values[at[hit]]
+                o[hit] = self._rows(values, at[hit])
         else:
             # ascending keys meet each piece once, and in the order of its own
             flat = np.concatenate(keys)
@@ -149,13 +178,13 @@ class Pieces:
             for lo, hi, shared in self.shared:
                 have, values = taken(shared)
                 if out is None:
-                    out = np.full((len(flat), values.shape[1]), blank, np.float32)
+                    out = np.full((len(flat), values[1].shape[1]), blank, np.float32)
                 first, last = np.searchsorted(flat, lo), np.searchsorted(flat, hi, "right")
                 if len(have) and last > first:
                     at = np.searchsorted(have, flat[first:last])
                     at[at == len(have)] = 0
                     hit = have[at] == flat[first:last]
-                    out[order[first:last][hit]] = values[at[hit]]
+                    out[order[first:last][hit]] = self._rows(values, at[hit])
                 del have, values  # before the next is loaded
             out = np.split(out, np.cumsum([len(k) for k in keys])[:-1])
         return [o[:, 0] if o.shape[1] == 1 else o for o in out]

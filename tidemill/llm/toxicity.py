@@ -47,6 +47,8 @@ from . import arrays as A
 
 #: Bytes that go through all pieces of large models at a time.
 GROUP_BYTES = 4 << 20
+#: Different pairs that a task gathers before it sends them on.
+COUNT_ROWS = 1 << 20
 #: Above this many pairs the models are joined with the texts' pairs instead.
 MODEL_ROWS = 16_000_000
 SHARED = 0.5
@@ -76,22 +78,44 @@ def _pair_column(a: str, b: str) -> Column:
     return F.col(a).bitwiseXOR(F.shiftleft(b, 1).bitwiseOR(F.shiftrightunsigned(b, 63)))
 
 
+def _counted(a: np.ndarray, b: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, ...]:
+    return _merged([(a, b, ~toxic, toxic)])
+
+
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Different pairs (a, b) and the sums of their counts in each class."""
+    a, b, n0, n1 = (np.concatenate(x) for x in zip(*parts))
+    _, at, which = np.unique(A.pair(a, b), return_index=True, return_inverse=True)
+    return a[at], b[at], *(np.bincount(which, n, len(at)).astype(np.int64) for n in (n0, n1))
+
+
+def _count_batches(counts: tuple[np.ndarray, ...]):
+    a, b, n0, n1 = counts
+    for i in range(0, len(a), 1 << 16):
+        j = slice(i, i + (1 << 16))
+        yield pa.RecordBatch.from_arrays([A.long_array(a[j]), A.long_array(b[j]), pa.array(n0[j]), pa.array(n1[j])], names=["a", "b", "n0", "n1"])
+
+
 def count_pairs(train: DataFrame, text: str) -> DataFrame:
     """(a, b, n0, n1): pairs of neighbouring words (hashes) and their counts in each class."""
     A.ship(train.sparkSession)
 
     def run(batches):
+        held, size = [], 0
         for batch in batches:
             y = batch.column(1).to_numpy()
             for block in A.text_blocks(batch.column(0)):
                 a, b, bounds = _tokens(block)
-                if not len(b):
-                    continue
-                toxic = np.repeat(y[block.first : block.last], np.diff(bounds)) == 1
-                _, at, which = np.unique(A.pair(a, b), return_index=True, return_inverse=True)
-                n1 = np.bincount(which[toxic], minlength=len(at))
-                n = np.bincount(which, minlength=len(at))
-                yield pa.RecordBatch.from_arrays([A.long_array(a[at]), A.long_array(b[at]), pa.array(n - n1), pa.array(n1)], names=["a", "b", "n0", "n1"])
+                held.append(_counted(a, b, np.repeat(y[block.first : block.last], np.diff(bounds)) == 1))
+                size += len(held[-1][0])
+                if size >= COUNT_ROWS:
+                    merged = _merged(held)
+                    # what hardly shrinks any more goes on
+                    held, size = ([merged], len(merged[0])) if len(merged[0]) <= COUNT_ROWS // 2 else ([], 0)
+                    if not held:
+                        yield from _count_batches(merged)
+        if held:
+            yield from _count_batches(_merged(held))
 
     part = train.select(F.col(text).cast("string").alias("t"), "y").mapInArrow(run, "a long, b long, n0 long, n1 long")
     return part.groupBy("a", "b").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
@@ -108,15 +132,19 @@ WORD_VALUES = ("p0", "p1", "s0", "s1", "s", "k0", "k1", "k")
 
 @dataclass(frozen=True)
 class Model:
-    """words (key, *WORD_VALUES) and pairs (key, n0, n1), whole, and the discounts D of the classes and of both."""
+    """words (key, *WORD_VALUES) and pairs (a, b, n0, n1), whole, and the discounts D of the classes and of both."""
 
     words: DataFrame | A.Pieces
     pairs: DataFrame | A.Pieces
     cuts: tuple[float, float, float]
 
     def pieces(self) -> Model:
+        """The same as arrays that workers hold; the tables are deleted."""
         owner = uuid.uuid4().hex
-        return Model(A.Pieces.of(owner, self.words, values=WORD_VALUES), A.Pieces.of(owner, self.pairs, values=("n0", "n1")), self.cuts)
+        of = lambda t, values: A.Pieces.of(owner, t, values=values)
+        made = Model(of(self.words, WORD_VALUES), of(self.pairs.select(_pair_column("a", "b").alias("key"), "n0", "n1"), ("n0", "n1")), self.cuts)
+        A.drop(self.words, self.pairs)
+        return made
 
 
 def learn(train: DataFrame, text: str) -> Model:
@@ -133,7 +161,9 @@ def learn(train: DataFrame, text: str) -> Model:
     context = pairs.groupBy("a").agg(*[F.sum(F.expr(x)).alias(f"s{c}") for c, x in sides.items()], *[F.count_if(F.expr(x) > 0).alias(f"k{c}") for c, x in sides.items()])
     both = word.select(F.col("b").alias("key"), *low).join(context.withColumnRenamed("a", "key"), "key", "full")
     words = both.select("key", *[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v) for v in WORD_VALUES])
-    return Model(A.table(words, "words"), pairs.select(_pair_column("a", "b").alias("key"), "n0", "n1"), cuts)
+    words = A.table(words, "words")
+    A.drop(word)
+    return Model(words, pairs, cuts)
 
 
 def features(blocks: list[A.Block], model: Model) -> np.ndarray:
@@ -177,13 +207,13 @@ def joined_features(docs: DataFrame, model: Model, text: str) -> DataFrame:
                 _, at, n = np.unique(A.pair(A.pair(a, b), row.astype(np.uint64)), return_index=True, return_counts=True)
                 for s in range(0, len(at), 1 << 16):
                     i = at[s : s + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(h[row[i]]), pa.array(g[row[i]]), A.long_array(a[i]), A.long_array(b[i]), A.long_array(_pair(a[i], b[i])), pa.array(n[s : s + (1 << 16)])], names=["h", "g", "a", "b", "key", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[row[i]]), pa.array(g[row[i]]), A.long_array(a[i]), A.long_array(b[i]), pa.array(n[s : s + (1 << 16)])], names=["h", "g", "a", "b", "n"])
 
     named = docs.select(_text(text).alias("t")).select("t", *_name("t"))
-    held = A.table(named.dropDuplicates(["h", "g"]).mapInArrow(run, "h long, g long, a long, b long, key long, n long"), "tokens")
+    held = A.table(named.dropDuplicates(["h", "g"]).mapInArrow(run, "h long, g long, a long, b long, n long"), "tokens")
     low = model.words.select(F.col("key").alias("b"), "p0", "p1")
     context = model.words.select(F.col("key").alias("a"), *WORD_VALUES[2:])
-    got = held.join(model.pairs, "key", "left").join(low, "b", "left").join(context, "a", "left")
+    got = held.join(model.pairs, ["a", "b"], "left").join(low, "b", "left").join(context, "a", "left")
     x = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
     count = [x("n0"), x("n1"), x("n0") + x("n1")]
     seen = [x(c) for c in ("s0", "s1", "s")]
