@@ -130,14 +130,24 @@ class Pieces:
             ranges = [(lo, hi - 1) for lo, hi in zip(edges, edges[1:])]
         shared = []
         for lo, hi in ranges:
-            t = (df if len(ranges) == 1 else df.filter(F.col(key).between(lo, hi))).select(F.col(key).cast("long"), *[F.col(v).cast("float") for v in values]).toArrow()
-            k, *v = (t.column(i).to_numpy() for i in range(1 + len(values)))
-            order = np.argsort(k)
-            shared.append((lo, hi, df.sparkSession.sparkContext.broadcast((k[order], cls._packed(np.stack([x[order] for x in v], 1))))))
+            part = df if len(ranges) == 1 else df.filter(F.col(key).between(lo, hi))
+            shared.append((lo, hi, cls._sent(df.sparkSession.sparkContext, part.select(F.col(key).cast("long"), *[F.col(v).cast("float") for v in values]))))
+            pa.default_memory_pool().release_unused()
         if len(ranges) > 1:
             drop(whole)
         return cls(owner, shared)
 
+    @classmethod
+    def _sent(cls, sc, part):
+        """A broadcast of the sorted keys and their values, which the driver itself doesn't hold."""
+        t = part.toArrow()
+        k, *v = (t.column(i).to_numpy() for i in range(t.num_columns))
+        order = np.argsort(k)
+        sent = sc.broadcast((k[order], cls._packed(np.stack([x[order] for x in v], 1))))
+        if hasattr(sent, "_value"):
+            del sent._value
+        return sent
+
     @staticmethod
     def _packed(values: np.ndarray):
         """Pairs of values as codes of the different ones, if those are few."""
