@@ -68,6 +68,8 @@ def table(df, name: str):
     spark._jvm.System.gc()
     got = spark.read.schema(df.schema).parquet(path)
     got._tidemill_path = path
+    if _scopes:
+        _scopes[-1].tables.append(got)
     return got
 
 
@@ -79,6 +81,31 @@ def drop(*tables) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scope:
+    """Deletes at its end the tables written within, but for those that it was told to keep."""
+
+    def __init__(self) -> None:
+        self.tables, self.kept = [], []
+
+    def keep(self, *tables):
+        self.kept += tables
+        return tables[0]
+
+    def __enter__(self) -> Scope:
+        _scopes.append(self)
+        return self
+
+    def __exit__(self, *error) -> None:
+        _scopes.remove(self)
+        paths = {t._tidemill_path for t in self.kept}
+        drop(*(t for t in self.tables if t._tidemill_path not in paths))
+        if _scopes:
+            _scopes[-1].tables += self.kept
+
+
+_scopes: list[Scope] = []
+
+
 _heavy: dict[str, object] = {}
 
 

@@ -87,7 +87,9 @@ def format_tree(tree: DataFrame, branches: int = 1) -> DataFrame:
     """conv, branch, formatted (string) and loss (array<struct<start,length>>) of each chosen branch."""
     text, role = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("role").cast("string"), F.lit(""))
     said = tree.select(_held("conv"), "node", (role == ASSISTANT).alias("learn"), F.concat(F.lit(START), escape(role, True), F.lit("\n")).alias("head"), escape(text).alias("body"))
-    turns = branch_messages(tree, branches).withColumn("conv", _held("conv")).join(said, ["conv", "node"])
+    with A.Scope() as scope:
+        chosen = scope.keep(A.table(branch_messages(tree, branches), "branches"))
+    turns = chosen.withColumn("conv", _held("conv")).join(said, ["conv", "node"])
     # positions by lengths before the text is gathered
     length = F.char_length("head") + F.char_length("body") + len(END)
     before = F.sum(length).over(Window.partitionBy("conv", "branch").orderBy("place")) - length

@@ -173,6 +173,13 @@ def _work(t: pa.Table, k: int, tables: int, dim: int, threshold: float) -> pa.Re
 
 def link(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """key, n_links, component_id and kept of every row."""
+    with A.Scope() as scope:
+        out = scope.keep(A.table(_linked(vectors, key, vector, threshold), "linked"))
+    return out.select(F.col("id").alias(key), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _linked(vectors: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
+    """id, n_links and component_id of every row."""
     A.ship(vectors.sparkSession)
     v = F.col(vector)
     good = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
@@ -222,5 +229,4 @@ def link(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", thr
     result = reps.select("id", "h", "g", "times").join(sums, "id", "left").join(label.withColumnRenamed("node", "id"), "id", "left")
     result = result.select("h", "g", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     out = named.select("id", "h", "g").join(result, ["h", "g"]).select("id", "n_links", "component_id")
-    out = out.union(rows.filter("not good").select("id", F.lit(0).cast("long"), F.col("id")))
-    return out.select(F.col("id").alias(key), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.union(rows.filter("not good").select("id", F.lit(0).cast("long"), F.col("id")))

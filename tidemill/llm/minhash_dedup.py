@@ -282,6 +282,13 @@ def _confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int,
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """key, n_shingles, component_id and kept of every row; similarity at least
     numerator/denominator links.  The key is a whole number."""
+    with A.Scope() as scope:
+        out = scope.keep(A.table(_linked(docs, key, text, width, numerator, denominator), "linked"))
+    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("k") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _linked(docs: DataFrame, key: str, text: str, width: int, numerator: int, denominator: int) -> DataFrame:
+    """k, n and component_id of every row."""
     rows = A.table(_sketches(docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")), "k", "t", width), "sketches")
     alone = (F.col("n") == 0) | F.col("k").isNull()
     # equal sets: one representative, counted before the shuffle
@@ -316,8 +323,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     label = components(links.union(more))
     of_set = reps.join(label.withColumnRenamed("node", "k"), "k", "left").select("f", "g", F.coalesce("component", "k").alias("component_id"))
     placed = rows.filter(~alone).select("k", "n", "f", "g").join(of_set, ["f", "g"]).select("k", "n", "component_id")
-    out = placed.union(rows.filter(alone).select("k", "n", F.col("k").alias("component_id")))
-    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("k") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return placed.union(rows.filter(alone).select("k", "n", F.col("k").alias("component_id")))
 
 
 def _near(na, la, ha, nb, lb, hb, numerator, denominator):

@@ -238,7 +238,8 @@ def bands(scored: DataFrame, lang: str = "lang") -> DataFrame:
 def judge(docs: DataFrame, keep: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
     """``keep``, lang, the facts, base_failed, log_perplexity, low, high and kept for every row."""
     keep = [c for c in keep if c.lower() not in ("base_failed", "low", "high", "kept")]  # results replace them
-    scored = A.table(score(docs, fit(docs, text), keep, text, lang), "quality")
+    with A.Scope() as scope:
+        scored = scope.keep(A.table(score(docs, fit(docs, text), keep, text, lang), "quality"))
     limits = A.table(bands(scored, lang).coalesce(1), "bands").toDF("__band", "__low", "__high")  # a row a language; Spark broadcasts it by its size
     out = scored.withColumn("__of", F.coalesce(F.col(lang), F.lit(""))).join(limits, F.col("__of") == F.col("__band"), "left")
     inside = F.coalesce(F.col("log_perplexity").between(F.col("__low"), F.col("__high")), F.lit(True))

@@ -86,6 +86,13 @@ def _level(units: DataFrame, shards: int, blocks: int) -> DataFrame:
 
 def assign(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, size, text_crc32, shard and slot of every row."""
+    with A.Scope() as scope:
+        placed = scope.keep(A.table(_placed(docs, shards, key, text), "placed"))
+    return _slots(placed).withColumnsRenamed({"key": key, "crc": "text_crc32"})
+
+
+def _placed(docs: DataFrame, shards: int, key: str, text: str) -> DataFrame:
+    """key, size, crc and shard of every row."""
     A.ship(docs.sparkSession)
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     # two chained 64-bit hashes name a text
@@ -107,13 +114,11 @@ def assign(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text"
         step = got.filter("unit is not null").select(F.col("unit").alias("block"), F.col("block").alias("upper"), "place")
         found = found.join(step, "block").select("h", "g", F.col("upper").alias("block"), F.element_at("place", F.col("slot") + 1).alias("slot"))
         blocks = upper
-    placed = rows.join(found.select("h", "g", F.col("slot").alias("shard")), ["h", "g"]).select("key", "size", "crc", "shard")
-    return _slots(placed).withColumnsRenamed({"key": key, "crc": "text_crc32"})
+    return rows.join(found.select("h", "g", F.col("slot").alias("shard")), ["h", "g"]).select("key", "size", "crc", "shard")
 
 
 def _slots(placed: DataFrame) -> DataFrame:
     """Gapless slots in each shard: counts of small buckets first, then numbers within them."""
-    placed = A.table(placed, "placed")
     buckets = max(1, -(-placed.count() // SLOT_ROWS)) * 4
     placed = placed.withColumn("bucket", F.pmod(F.xxhash64("key", "crc"), F.lit(buckets)))
     counts = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))

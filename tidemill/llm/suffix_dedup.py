@@ -296,10 +296,11 @@ def _anchored(docs: DataFrame, text: str, length: int):
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     texts = docs.select(t.alias("t"), *_name(t))
     rows = _anchor_rows(texts, length).groupBy("key", "ctx", "h", "g", "pos").agg(F.count(F.lit(1)).alias("m"))
-    rows = A.table(rows, "anchors")
+    every = A.table(rows, "anchors")
     # written tables below leave Spark free to split what a common key or context holds
-    seen = A.table(rows.groupBy("key").agg(F.sum("m").alias("all")).filter("all > 1").select("key"), "keys")
-    rows = A.table(rows.join(seen, "key", "left_semi"), "anchors")
+    seen = A.table(every.groupBy("key").agg(F.sum("m").alias("all")).filter("all > 1").select("key"), "keys")
+    rows = A.table(every.join(seen, "key", "left_semi"), "anchors")
+    A.drop(every, seen)
     by_ctx = A.table(rows.groupBy("key", "ctx").agg(F.sum("m").alias("n"), F.min(F.struct("h", "g", "pos")).alias("r")), "contexts")
     kinds = A.table(by_ctx.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "kinds")
     return texts, rows, by_ctx, kinds
@@ -317,15 +318,22 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     A repeat is as long as all its occurrences allow within the reach of an anchor (``length``
     bytes on either side); a longer passage is several overlapping repeats.  Around keys of more
     than ``TREE_CONTEXTS`` contexts the repeats are single windows.  ``name`` is a hash of the string."""
+    with A.Scope() as scope:
+        places = _repeats(docs, text, length)
+        places = scope.keep(A.table(places, "places"))
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return docs.select(F.col(key), *_name(t)).join(places, ["h", "g"]).select("name", key, "begin", "end")
+
+
+def _repeats(docs: DataFrame, text: str, length: int) -> DataFrame:
+    """name, h, g, begin, end of the repeats in different texts."""
     texts, rows, by_ctx, kinds = _anchored(docs, text, length)
     some = by_ctx.join(kinds, "key", "left").filter("n > 1 or kinds > 1").select("key", "ctx", F.coalesce("kinds", F.lit(1)).alias("kinds"), "n", "r.*")
     held = _contexts(texts, some.filter(F.col("kinds") <= TREE_CONTEXTS), length).join(by_ctx.select("key", "ctx", "n"), ["key", "ctx"])
     found = A.table(_covered(_in_order(held), length, whole=True).distinct(), "repeats")
     places = A.table(rows.select("key", "ctx", "h", "g", "pos").join(found, ["key", "ctx"]).select("name", "h", "g", (F.col("pos") - F.col("l")).alias("begin"), (F.col("pos") + F.col("r")).alias("end")), "places")
     hot = _hot_windows(texts, some.filter(F.col("kinds") > TREE_CONTEXTS).select("key").distinct(), rows, length)
-    places = places.union(hot.select(F.col("w").alias("name"), "h", "g", F.col("p").alias("begin"), (F.col("p") + length).alias("end"))).distinct()
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(F.col(key), *_name(t)).join(places, ["h", "g"]).select("name", key, "begin", "end")
+    return places.union(hot.select(F.col("w").alias("name"), "h", "g", F.col("p").alias("begin"), (F.col("p") + length).alias("end"))).distinct()
 
 
 def spans_of(docs: DataFrame, text: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
@@ -420,8 +428,9 @@ def cut(docs: DataFrame, keep: list[str], text: str = "text", length: int = LENG
     ``whole_characters`` a character stays unless all of its bytes are repeated,
     so that what is kept is text."""
     keep = [c for c in keep if c.lower() not in ("n_bytes", "n_removed", "n_spans", "kept")]  # results replace them
-    _, covered = spans_of(docs, text, length)
-    covered = A.table(covered, "spans")
+    with A.Scope() as scope:
+        _, covered = spans_of(docs, text, length)
+        covered = scope.keep(A.table(covered, "spans"))
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     h, g = _name(t)
     named = docs.select(*[F.col("`" + c.replace("`", "``") + "`").alias(f"k{i}") for i, c in enumerate(keep)], t.alias("t"), h, g).join(covered, ["h", "g"], "left")

@@ -268,10 +268,14 @@ def score(docs: DataFrame, labels: DataFrame, keep: list[str], key: str = "doc_i
     """``keep``, score, held_out and predicted of every row; the model is learnt from ``labels``."""
     src = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     named = labels.select(F.col(key).alias("key"), F.col(label).alias("label"))
-    model = learn(A.labelled(src, named, "key", "label", COUNTED), "text")
-    model = model.pieces() if model.pairs.count() <= MODEL_ROWS else model
-    some = A.labelled(src, named, "key", "label", CALIBRATED, CALIBRATION_ROWS)
-    x, y = A.sample(_scored(some, model, None, ["key", "y"], "text", True), ["features"], FEATURES)
+    with A.Scope() as scope:
+        model = learn(A.labelled(src, named, "key", "label", COUNTED), "text")
+        if model.pairs.count() <= MODEL_ROWS:
+            model = model.pieces()
+        else:
+            scope.keep(model.words, model.pairs)
+        some = A.labelled(src, named, "key", "label", CALIBRATED, CALIBRATION_ROWS)
+        x, y = A.sample(_scored(some, model, None, ["key", "y"], "text", True), ["features"], FEATURES)
     weights = A.logistic(x, y)
     held = F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4)) == HELD_OUT
     keep = [c for c in keep if c.lower() not in ("held_out", "predicted")]
