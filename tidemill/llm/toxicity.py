@@ -48,7 +48,7 @@ from . import arrays as A
 #: Bytes that go through all pieces of large models at a time.
 GROUP_BYTES = 4 << 20
 #: Different pairs that a task gathers before it sends them on.
-COUNT_ROWS = 1 << 20
+COUNT_ROWS = 1 << 19
 #: Above this many pairs the models are joined with the texts' pairs instead.
 MODEL_ROWS = 16_000_000
 SHARED = 0.5
