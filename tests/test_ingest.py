@@ -146,6 +146,47 @@ def test_ledger_duplicate_or_conflict(spark, tmp_path):
     assert [r[0] for r in c.conflicting.collect()] == ["evt-1"]
 
 
+def test_a_crashed_writers_lock_expires(spark, tmp_path):
+    held = Ledger(spark, str(tmp_path), wait_s=0.3)
+    with held._lock():
+        with pytest.raises(ConcurrentIngestion):
+            held.reserve("run-a", "in", 1, one(spark))
+    Files(spark).create(f"{tmp_path}/_lock", json.dumps({"owner": "gone", "until": 0}))
+    assert held.reserve("run-a", "in", 1, one(spark)).n_accepted == 1
+    assert not Files(spark).exists(f"{tmp_path}/_lock")
+
+
+def test_silver_glob_replaces_the_root(spark, tmp_path, events, monkeypatch):
+    root = str(tmp_path / "data")
+    ingest(spark, lines(tmp_path / "a.jsonl", events[:6]), root)
+    path = f"{root}/silver/transactions"
+    assert transactions.silver(spark, path).count() == 6
+    monkeypatch.setenv("SILVER_GLOB", f"{path}/event_date=*/run=*")
+    assert transactions.silver(spark, "nowhere").filter("event_date is not null").count() == 6
+
+
+def test_commands_and_their_exit_codes(spark, tmp_path, events, capsys, monkeypatch):
+    from tidemill import __main__, session
+
+    monkeypatch.setattr(session, "build", lambda *a, **k: spark)
+    monkeypatch.setattr(marts, "build_marts", lambda silver, prefix="cli_", f=marts.build_marts: f(silver, prefix))
+    root, good, bad = str(tmp_path / "data"), lines(tmp_path / "a.jsonl", events[:9]), lines(tmp_path / "b.jsonl", [*events[9:12], "{bad"])
+    run = lambda *argv: __main__.main(list(argv))
+    assert run("validate", good) == 0 and run("validate", bad) == 2
+    assert run("ingest", good, "--data-root", root) == 0 and run("ingest", bad, "--data-root", root) == 2
+    assert run("marts", "--data-root", root) == 0 and run("quality", "--data-root", root) == 0
+    assert run("features", "--data-root", root, "--output", f"{root}/features") == 0
+    assert run("publish", "--root", f"{root}/features", "--bucket", f"file://{tmp_path}/bucket") == 0
+    assert run("generate", "--count", "30", "--output", f"{root}/generated") == 0
+    capsys.readouterr()
+    assert run("hourly", "--data-root", f"{root}/h", "--count", "40") == 0
+    assert '"cli_fact_transactions": 40' in capsys.readouterr().out.replace("'", '"') or committed_silver(spark, f"{root}/h").count() == 40
+    assert run("daily", "--data-root", f"{root}/h") == 0 and spark.read.parquet(f"{root}/h/features/transactions").count() == 40
+    (tmp_path / "data/h/incoming/transactions/part-x.json").write_text("{bad\n")
+    assert run("daily", "--data-root", f"{root}/h", "--retries", "0") == 2
+    assert not Files(spark).exists(f"{root}/h/_daily.lock")
+
+
 def test_runner_retries_and_locks(spark, tmp_path):
     tries = []
 

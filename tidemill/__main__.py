@@ -1,4 +1,4 @@
-"""python -m tidemill STAGE ...: generate, validate, ingest, marts, features, quality, serve, publish, joins, stream."""
+"""python -m tidemill STAGE ...: generate, validate, ingest, marts, features, quality, serve, publish, joins, stream, hourly, daily."""
 
 from __future__ import annotations
 
@@ -26,6 +26,8 @@ def main(argv: list[str] | None = None) -> int:
     add("publish", root={"required": True}, bucket={"required": True}, prefix={"default": ""})
     add("joins", transactions={"required": True}, customers={"required": True}, hot={"type": int, "default": 5})
     add("stream", bootstrap_servers={"default": "localhost:9092"}, topic={"default": "transactions"}, source={"default": None}, checkpoint={"default": "data/checkpoints/transactions"}, output={"default": "data/streaming/features"}, quarantine={"default": "data/streaming/invalid"}, watermark={"default": "15 minutes"}, trigger_seconds={"type": int, "default": 30})
+    add("hourly", data_root={"default": "data"}, count={"type": int, "default": 10_000}, seed={"type": int, "default": 42}, retries={"type": int, "default": 2}, delay={"type": float, "default": 120})
+    add("daily", data_root={"default": "data"}, retries={"type": int, "default": 2}, delay={"type": float, "default": 120})
     a = p.parse_args(argv)
     spark = session.build(f"tidemill-{a.stage}")
 
@@ -70,6 +72,16 @@ def main(argv: list[str] | None = None) -> int:
         salted = joins.salted_join(fact, dim, hot)
         joins.explain(salted, "Salted join")
         joins.segment_stats(salted).show(50, truncate=False)
+    elif a.stage in ("hourly", "daily"):
+        from .plans import runner, schedules
+
+        stages = schedules.hourly(spark, a.data_root, a.count, a.seed) if a.stage == "hourly" else schedules.daily(spark, a.data_root)
+        try:
+            done = runner.run_stages(stages, retries=a.retries, delay_s=a.delay, files=Files(spark), lock=f"{a.data_root}/_{a.stage}.lock")
+        except schedules.Rejected as e:
+            print(e)
+            return 2
+        print(json.dumps({name: str(result) for name, result in done.items()}, indent=2))
     else:
         from .streaming.features import StreamingConfig, run
 

@@ -87,8 +87,8 @@ def ingest(spark: SparkSession, path: str, root: str) -> Stats:
 def committed_silver(spark: SparkSession, root: str, days: tuple[str, str] | None = None) -> DataFrame:
     """Silver events of committed runs; the run is a partition, so others aren't read."""
     path = f"{root}/silver/transactions"
-    runs = Ledger(spark, f"{root}/metadata").runs("committed")
-    if not Files(spark).exists(path) or not runs:
+    if not Files(spark).exists(path):
         return spark.createDataFrame([], SILVER)
-    df = spark.read.schema(T.StructType([*SILVER.fields, T.StructField("run", T.StringType())])).parquet(path).filter(F.col("run").isin(runs)).drop("run")
+    runs = Ledger(spark, f"{root}/metadata").runs().filter("status = 'committed'").select(F.col("run_id").alias("run"))
+    df = spark.read.schema(T.StructType([*SILVER.fields, T.StructField("run", T.StringType())])).parquet(path).join(runs, "run", "left_semi").select(SILVER.fieldNames())
     return df.filter(F.col("event_date").between(F.lit(days[0]).cast("date"), F.lit(days[1]).cast("date"))) if days else df

@@ -3,7 +3,11 @@
 A run's events are one Parquet folder, its standing one small JSON file that is
 replaced by a rename, so committing a run touches one file however many events it
 has.  Events of a staging run are reserved, those of a committed run committed.
-One writer at a time holds an exclusively created lock file.
+One writer at a time holds an exclusively created lock file, for ``lease_s`` seconds at
+most: a lock older than that is a crashed writer's and is taken away.
+
+Run standings are read by Spark as one table, and a batch is compared only with the
+ledger rows of its own event ids: history is scanned, not shuffled.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ import json
 import time
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,20 +47,38 @@ class Reservation:
 
 
 class Ledger:
-    def __init__(self, spark: SparkSession, root: str, wait_s: float = 10) -> None:
-        self.spark, self.root, self.files, self.wait_s = spark, str(root).rstrip("/"), Files(spark), wait_s
+    def __init__(self, spark: SparkSession, root: str, wait_s: float = 10, lease_s: float = 6 * 3600) -> None:
+        self.spark, self.root, self.files, self.wait_s, self.lease_s = spark, str(root).rstrip("/"), Files(spark), wait_s, lease_s
 
     @contextlib.contextmanager
     def _lock(self):
-        path, end = f"{self.root}/_lock", time.time() + self.wait_s
-        while not self.files.create(path, datetime.now(UTC).isoformat()):
+        path, end, mine = f"{self.root}/_lock", time.time() + self.wait_s, uuid4().hex
+        while not self.files.create(path, json.dumps({"owner": mine, "until": time.time() + self.lease_s})):
+            self._take_expired(path)
             if time.time() > end:
                 raise ConcurrentIngestion(f"{path} is held by another writer")
             time.sleep(0.1)
         try:
             yield
         finally:
-            self.files.delete(path)
+            if self._lock_of(path).get("owner") == mine:
+                self.files.delete(path)
+
+    def _lock_of(self, path: str) -> dict:
+        try:
+            return json.loads(self.files.read(path))
+        except Exception:  # gone meanwhile, or still being written
+            return {}
+
+    def _take_expired(self, path: str) -> None:
+        """Moves an expired lock aside; only one writer's rename succeeds."""
+        held = self._lock_of(path)
+        if held and held["until"] < time.time():
+            aside = f"{path}-{held['owner']}"
+            with contextlib.suppress(Exception):  # another writer was faster
+                self.files.rename(path, aside)
+                if self._lock_of(aside).get("owner") != held["owner"]:  # a new lock was moved: put it back
+                    self.files.rename(aside, path)
 
     def _run_path(self, run_id: str) -> str:
         return f"{self.root}/runs/{run_id}.json"
@@ -67,18 +90,19 @@ class Ledger:
     def _put(self, run: dict) -> None:
         self.files.write(self._run_path(run["run_id"]), json.dumps(run, sort_keys=True))
 
-    def runs(self, *status: str) -> list[str]:
-        ids = [n[: -len(".json")] for n in self.files.names(f"{self.root}/runs") if n.endswith(".json")]
-        return [r for r in ids if not status or self.run_status(r)["status"] in status]
+    def runs(self) -> DataFrame:
+        """run_id and status of every run, read by Spark."""
+        path = f"{self.root}/runs"
+        schema = "run_id string, status string"
+        return self.spark.read.schema(schema).option("pathGlobFilter", "*.json").json(path) if self.files.exists(path) else self.spark.createDataFrame([], schema)
 
     def events(self) -> DataFrame:
         """event_id, payload_sha256, event_date, run_id, state of reserved and committed events."""
-        parts = {s: [p for r in self.runs(s) if self.files.exists(p := f"{self.root}/events/run={r}")] for s in ("staging", "committed")}
-        out = self.spark.createDataFrame([], EVENT_LEDGER).withColumn("state", F.lit("committed"))
-        for status, state in (("staging", "reserved"), ("committed", "committed")):
-            if parts[status]:
-                out = out.unionByName(self.spark.read.schema(EVENT_LEDGER).parquet(*parts[status]).withColumn("state", F.lit(state)))
-        return out
+        path, runs = f"{self.root}/events", self.runs().filter(F.col("status").isin("staging", "committed"))
+        state = F.when(F.col("status") == "staging", "reserved").otherwise("committed").alias("state")
+        # folders that begin with _ aren't read: reservations still being written
+        held = self.spark.read.schema(EVENT_LEDGER).option("recursiveFileLookup", "true").parquet(path) if self.files.names(path) else self.spark.createDataFrame([], EVENT_LEDGER)
+        return held.join(runs, "run_id").select(*EVENT_LEDGER.fieldNames(), state)
 
     def conflicts(self) -> DataFrame:
         parts = [f"{self.root}/conflicts/{n}" for n in self.files.names(f"{self.root}/conflicts")]
@@ -94,7 +118,8 @@ class Ledger:
             if run and run["status"] == "committed":
                 self._put(run | {"attempts": attempt})
                 return Reservation(none, none, 0, candidates.count(), 0, True, attempt)
-            standing = classify_ledger(candidates, self.events(), run_id).persist()
+            known = self.events().join(candidates.select("event_id"), "event_id", "left_semi")
+            standing = classify_ledger(candidates, known, run_id).persist()
             try:
                 taken = standing.filter("standing = 'reserved_elsewhere'").select("event_id", "owner").first()
                 if taken:

@@ -10,6 +10,8 @@ from ..functions import contract
 from ..functions.money import half_up
 from ..operators import features, joins, marts, quality, resolve
 from ..sources import transactions
+from ..sources.files import Files
+from . import ingest, ledger
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -218,6 +220,64 @@ def run_counters(spark, sf):
     return resolve.run_counters(resolve.classify_batch(_lines(spark, sf)))
 
 
+def _file(spark, lines, path: str) -> str:
+    """The lines as one file, in their order."""
+    lines.repartition(1).sortWithinPartitions("line_no").select("raw").write.text(path)
+    return Files(spark).walk(path, ".txt")[0]
+
+
+def _stats(spark, **runs):
+    fields = ("attempt", "received", "valid", "invalid", "duplicates", "conflicts", "written")
+    return spark.createDataFrame([(name, *(getattr(s, f) for f in fields), s.replayed_run) for name, s in runs.items()], "run string, " + ", ".join(f"{f} long" for f in fields) + ", replayed boolean")
+
+
+_COUNTED = """count(*) AS received, CAST(count(*) FILTER (WHERE status = 'candidate') AS BIGINT) AS valid, CAST(count(*) FILTER (WHERE status = 'invalid') AS BIGINT) AS invalid,
+  CAST(count(*) FILTER (WHERE status = 'duplicate') AS BIGINT) AS duplicates, CAST(count(*) FILTER (WHERE status = 'conflict') AS BIGINT) AS conflicts"""
+
+
+@query(f"""WITH {_BATCH}, n AS (SELECT {_COUNTED} FROM batch)
+  SELECT 'first' AS run, 1 AS attempt, *, valid AS written, false AS replayed FROM n
+  UNION ALL SELECT 'replay', 2, received, valid, invalid, duplicates + valid, conflicts, 0, true FROM n""")
+def ingest_replay(spark, sf):
+    """A batch and the same file again, which writes nothing."""
+    root = session.scratch(spark, "ingest")
+    path = _file(spark, _lines(spark, sf), f"{root}/in")
+    return _stats(spark, first=ingest.ingest(spark, path, root), replay=ingest.ingest(spark, path, root))
+
+
+@query("""WITH good AS (SELECT event_id FROM events WHERE event_id % 20 NOT BETWEEN 3 AND 12), bad AS (SELECT count(*) AS n FROM events WHERE event_id % 20 BETWEEN 3 AND 12),
+  twice AS (SELECT count(*) AS n, CAST(count(*) FILTER (WHERE event_id % 40 = 13) AS BIGINT) AS same FROM events WHERE event_id % 20 = 13), n AS (SELECT count(*) AS n, CAST(count(*) FILTER (WHERE event_id % 7 = 0) AS BIGINT) AS changed FROM good)
+  SELECT 'second' AS run, 1 AS attempt, (SELECT count(*) FROM events) * 2 + twice.n * 2 AS received, n.n * 2 AS valid, bad.n * 2 AS invalid, twice.same * 2 + n.n - n.changed AS duplicates, (twice.n - twice.same) * 2 + n.changed AS conflicts, n.n AS written, false AS replayed FROM n, bad, twice""")
+def ingest_overlap(spark, sf):
+    """A batch of events that are known, known with another payload, and new."""
+    root = session.scratch(spark, "ingest")
+    known = _lines(spark, sf)
+    ingest.ingest(spark, _file(spark, known, f"{root}/a"), root)
+    changed = F.when(F.col("id") % 7 == 0, F.replace("raw", F.lit('"merchant_id":"'), F.lit('"merchant_id":"other-'))).otherwise(F.col("raw"))
+    new = known.select((F.col("line_no") + 4_000_000_000).alias("line_no"), F.replace("raw", F.lit('"event_id":"evt-'), F.lit('"event_id":"new-')).alias("raw"))
+    again = known.select("line_no", changed.alias("raw")).unionByName(new)
+    return _stats(spark, second=ingest.ingest(spark, _file(spark, again, f"{root}/b"), root))
+
+
+@query("""SELECT 'evt-' || lpad(CAST(event_id AS VARCHAR), 8, '0') AS event_id, CAST(user_id AS VARCHAR) AS customer_id, round(value, 2) AS amount, 'card' AS channel, CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date
+  FROM events WHERE event_id % 20 NOT BETWEEN 3 AND 12""")
+def ingest_retry(spark, sf):
+    """Silver after a run that failed before its commit and its retry."""
+    root = session.scratch(spark, "ingest")
+    path = _file(spark, _lines(spark, sf), f"{root}/in")
+    commit, ledger.Ledger.commit = ledger.Ledger.commit, lambda self, run: (_ for _ in ()).throw(OSError("lost"))
+    try:
+        ingest.ingest(spark, path, root)
+    except OSError:
+        pass
+    finally:
+        ledger.Ledger.commit = commit
+    if ingest.committed_silver(spark, root).limit(1).count():
+        raise AssertionError("an uncommitted run is visible")
+    ingest.ingest(spark, path, root)
+    return ingest.committed_silver(spark, root).select("event_id", "customer_id", "amount", "channel", F.col("event_date").cast("string").alias("event_date"))
+
+
 def _ledger(spark, sf):
     """A ledger of as many events, of which some have ids of their own, some another payload or another run."""
     e = _tx(spark, sf).withColumn("id", F.col("event_id").cast("long"))

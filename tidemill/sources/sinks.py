@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .files import Files
 
+#: Files that ``sync_directory`` copies at a time.
+COPIES = 16
+
 
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
@@ -31,12 +36,11 @@ def publish(df: DataFrame, root: str, bucket: str, prefix: str = "") -> dict:
 
 def sync_directory(files: Files, root: str, bucket: str, prefix: str = "") -> dict:
     """Uploads **/*.parquet in order; a summary with at most ten sample keys."""
-    keys = []
     base = root.split(":", 1)[-1].rstrip("/")
-    for path in files.walk(root, ".parquet"):
-        key = "/".join(x for x in (prefix.strip("/"), path.split(base, 1)[-1].lstrip("/")) if x)
-        files.copy(path, f"{bucket.rstrip('/')}/{key}")
-        keys.append(key)
+    paths = files.walk(root, ".parquet")
+    keys = ["/".join(x for x in (prefix.strip("/"), path.split(base, 1)[-1].lstrip("/")) if x) for path in paths]
+    with ThreadPoolExecutor(COPIES) as pool:
+        list(pool.map(lambda one: files.copy(one[0], f"{bucket.rstrip('/')}/{one[1]}"), zip(paths, keys)))
     return {"bucket": bucket, "objects_uploaded": len(keys), "sample_keys": keys[:10]}
 
 

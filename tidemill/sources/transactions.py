@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +19,11 @@ def jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def silver(spark: SparkSession, root: str, runs: list[str] | None = None, days: tuple[str, str] | None = None) -> DataFrame:
-    """Silver events; of the given runs, and of days first..last by partition pruning."""
-    df = spark.read.schema(schema.SILVER).parquet(root)
+    """Silver events; of the given runs, and of days first..last by partition pruning.  The
+    environment's SILVER_GLOB replaces the root."""
+    path = os.environ.get("SILVER_GLOB") or root
+    base = "/".join(itertools.takewhile(lambda part: not set(part) & set("*?[{"), path.split("/")))
+    df = spark.read.schema(schema.SILVER).option("basePath", base).parquet(path)
     if runs is not None:
         df = df.filter(F.col("ingestion_run_id").isin(runs))
     return df.filter(F.col("event_date").between(F.lit(days[0]).cast("date"), F.lit(days[1]).cast("date"))) if days else df
