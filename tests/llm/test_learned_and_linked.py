@@ -301,19 +301,6 @@ def test_chat_query_is_native(spark):
     assert r["n_turns"] == 2 and r["loss_sha256"] == hashlib.sha256(x.encode()).hexdigest() and r["loss_chars"] == len(x)
 
 
-def test_pipeline_stages(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    columns = docs.columns
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        left = stage(spark, docs, "/root/testdata/sf0.001").cache()
-        assert left.columns == columns and left.dtypes == docs.dtypes and 0 < left.count() <= docs.count(), name
-        docs = left
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001")
-    assert packed.select("doc_id").distinct().count() == docs.count()
-
-
 def test_a_null_conversation_is_formatted(spark):
     rows = spark.createDataFrame([(None, 0, "user", "a"), (None, 1, "assistant", "b"), (4, 0, "user", None)], "c long, turn long, role string, text string")
     got = chat_format.format_tree(chat_format.chains(rows, "c", "turn", "role", "text")).select("conv", chat_format.read_back(F.col("formatted")).alias("t")).collect()

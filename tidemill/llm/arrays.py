@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -58,6 +59,11 @@ def ship(spark) -> None:
     sc._tidemill_shipped = True
 
 
+#: Seconds between the driver's collections.
+COLLECT_S = 2.0
+_collected = [0.0]
+
+
 def table(df, name: str):
     """Writes df as Parquet in the shared folder and reads it back: cuts the
     lineage, survives the loss of executors."""
@@ -65,7 +71,9 @@ def table(df, name: str):
     path = scratch(spark, name)
     df.write.parquet(path)
     # the shuffles that made it are garbage now: Spark removes their files when the driver collects it
-    spark._jvm.System.gc()
+    if time.monotonic() - _collected[0] > COLLECT_S:
+        spark._jvm.System.gc()
+        _collected[0] = time.monotonic()
     got = spark.read.schema(df.schema).parquet(path)
     got._tidemill_path = path
     if _scopes:
