@@ -134,8 +134,8 @@ def taken(shared):
     return value
 
 
-#: Rows of one piece of a table that workers look up: a worker's memory follows this, not the table.
-PIECE_ROWS = 2_000_000
+#: Rows and bytes of one piece of a table that workers look up: a worker's and the driver's memory follow these, not the table.
+PIECE_ROWS, PIECE_BYTES = 2_000_000, 32 << 20
 
 
 class Pieces:
@@ -148,16 +148,16 @@ class Pieces:
 
     @classmethod
     def of(cls, owner: str, df, bits: int = 64, key: str = "key", values: tuple[str, ...] = ("v",)) -> Pieces:
-        """All rows of df, whose keys have ``bits`` bits, in ranges of about PIECE_ROWS of them."""
+        """All rows of df, whose keys have ``bits`` bits, in ranges of at most about PIECE_ROWS of them and PIECE_BYTES."""
         from pyspark.sql import functions as F
 
-        step = max(bits - 16, 0)
+        step, most = max(bits - 16, 0), min(PIECE_ROWS, PIECE_BYTES // (8 + 4 * len(values)))
         n, ranges = df.count() if bits > 16 else 0, [(-(1 << 63), (1 << 63) - 1)]
-        if n > PIECE_ROWS:
+        if n > most:
             df = whole = table(df, "pieces")  # read once for each range
             held, cuts = 0, []
             for b, m in sorted(tuple(r) for r in df.groupBy(F.shiftright(key, step).alias("b")).count().toLocalIterator()):
-                if held and held + m > PIECE_ROWS:
+                if held and held + m > most:
                     cuts.append(b << step)
                     held = 0
                 held += m
@@ -176,9 +176,14 @@ class Pieces:
     def _sent(cls, sc, part):
         """A broadcast of the sorted keys and their values, which the driver itself doesn't hold."""
         t = part.toArrow()
-        k, *v = (t.column(i).to_numpy() for i in range(t.num_columns))
+        k = t.column(0).to_numpy()
         order = np.argsort(k)
-        sent = sc.broadcast((k[order], cls._packed(np.stack([x[order] for x in v], 1))))
+        k = k[order]
+        v = np.empty((len(k), t.num_columns - 1), np.float32)
+        for i in range(v.shape[1]):
+            v[:, i] = t.column(i + 1).to_numpy()[order]
+        del t, order  # the driver holds the table once, not twice
+        sent = sc.broadcast((k, cls._packed(v)))
         if hasattr(sent, "_value"):
             del sent._value
         return sent
