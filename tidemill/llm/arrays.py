@@ -64,16 +64,21 @@ COLLECT_S = 2.0
 _collected = [0.0]
 
 
-def table(df, name: str):
-    """Writes df as Parquet in the shared folder and reads it back: cuts the
-    lineage, survives the loss of executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    # the shuffles that made it are garbage now: Spark removes their files when the driver collects it
+def collect_garbage(spark) -> None:
+    """The driver collects its garbage, unless it did so just before."""
     if time.monotonic() - _collected[0] > COLLECT_S:
         spark._jvm.System.gc()
         _collected[0] = time.monotonic()
+
+
+def table(df, name: str, by: str | None = None):
+    """Writes df as Parquet in the shared folder, in a folder for each value of ``by``, and
+    reads it back: cuts the lineage, survives the loss of executors."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    # the shuffles that made it are garbage now: Spark removes their files when the driver collects it
+    collect_garbage(spark)
     got = spark.read.schema(df.schema).parquet(path)
     got._tidemill_path = path
     if _scopes:
@@ -135,7 +140,7 @@ def taken(shared):
 
 
 #: Rows and bytes of one piece of a table that workers look up: a worker's and the driver's memory follow these, not the table.
-PIECE_ROWS, PIECE_BYTES = 2_000_000, 32 << 20
+PIECE_ROWS, PIECE_BYTES = 2_000_000, 16 << 20
 
 
 class Pieces:
@@ -152,23 +157,26 @@ class Pieces:
         from pyspark.sql import functions as F
 
         step, most = max(bits - 16, 0), min(PIECE_ROWS, PIECE_BYTES // (8 + 4 * len(values)))
-        n, ranges = df.count() if bits > 16 else 0, [(-(1 << 63), (1 << 63) - 1)]
+        spark, values = df.sparkSession, [F.col(v).cast("float") for v in values]
+        df = df.select(F.col(key).cast("long").alias("key"), *values)
+        n, cuts, held = df.count() if bits > 16 else 0, [], 0
         if n > most:
-            df = whole = table(df, "pieces")  # read once for each range
-            held, cuts = 0, []
-            for b, m in sorted(tuple(r) for r in df.groupBy(F.shiftright(key, step).alias("b")).count().toLocalIterator()):
+            for b, m in sorted(tuple(r) for r in df.groupBy(F.shiftright("key", step).alias("b")).count().toLocalIterator()):
                 if held and held + m > most:
                     cuts.append(b << step)
                     held = 0
                 held += m
-            edges = [ranges[0][0], *cuts, 1 << 63]
-            ranges = [(lo, hi - 1) for lo, hi in zip(edges, edges[1:])]
+        edges = [-(1 << 63), *cuts, 1 << 63]
+        ranges = [(lo, hi - 1) for lo, hi in zip(edges, edges[1:])]
+        if cuts:  # each range is read alone
+            at = F.array(*[F.lit(c).cast("long") for c in cuts])
+            whole = table(df.withColumn("__piece", F.size(F.filter(at, lambda c: c <= F.col("key")))), "pieces", by="__piece")
         shared = []
-        for lo, hi in ranges:
-            part = df if len(ranges) == 1 else df.filter(F.col(key).between(lo, hi))
-            shared.append((lo, hi, cls._sent(df.sparkSession.sparkContext, part.select(F.col(key).cast("long"), *[F.col(v).cast("float") for v in values]))))
+        for i, (lo, hi) in enumerate(ranges):
+            shared.append((lo, hi, cls._sent(spark.sparkContext, whole.filter(F.col("__piece") == i).drop("__piece") if cuts else df)))
             pa.default_memory_pool().release_unused()
-        if len(ranges) > 1:
+            collect_garbage(spark)
+        if cuts:
             drop(whole)
         return cls(owner, shared)
 
