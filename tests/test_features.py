@@ -65,3 +65,12 @@ def test_stream_from_files_with_restart_and_late_rows(spark, tmp_path):
     assert ("12:00", 1) in got and ("11:56", 1) in got  # the repeated event counts once
     assert all(n == 1 for w, n in got if w < "12:05")  # the late event is dropped
     assert spark.read.parquet(str(tmp_path / "bad")).select("json_payload", "validation_error").collect() == [("{broken", "missing_event_id")]
+
+
+def test_merchants_of_a_window_are_counted_exactly(spark):
+    """A sketch counted these some too many or too few."""
+    events = spark.range(400).select(
+        F.concat(F.lit("e"), "id").alias("event_id"), F.lit("c").alias("customer_id"), F.when(F.col("id") % 4 > 0, F.concat(F.lit("m"), F.col("id"))).alias("merchant_id"),
+        F.lit(START).alias("event_time"), F.lit(1.0).alias("amount"), F.lit("TRY").alias("currency"), F.lit("card").alias("channel"), F.lit("TR").alias("country"),
+    )
+    assert [r["merchant_diversity_5m"] for r in features.sliding_features(features.add_event_features(events)).collect()] == [300] * 5
