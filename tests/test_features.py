@@ -67,10 +67,15 @@ def test_stream_from_files_with_restart_and_late_rows(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "bad")).select("json_payload", "validation_error").collect() == [("{broken", "missing_event_id")]
 
 
-def test_merchants_of_a_window_are_counted_exactly(spark):
+def test_merchants_of_a_window_are_counted_exactly(spark, tmp_path):
     """A sketch counted these some too many or too few."""
     events = spark.range(400).select(
         F.concat(F.lit("e"), "id").alias("event_id"), F.lit("c").alias("customer_id"), F.when(F.col("id") % 4 > 0, F.concat(F.lit("m"), F.col("id"))).alias("merchant_id"),
         F.lit(START).alias("event_time"), F.lit(1.0).alias("amount"), F.lit("TRY").alias("currency"), F.lit("card").alias("channel"), F.lit("TR").alias("country"),
     )
+    later = events.limit(1).withColumns({"event_id": F.lit("later"), "event_time": F.lit(START + timedelta(hours=1))})
     assert [r["merchant_diversity_5m"] for r in features.sliding_features(features.add_event_features(events)).collect()] == [300] * 5
+    events.union(later).write.parquet(str(tmp_path / "in"))
+    out = streaming.stream_features(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")))
+    out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert [r["merchant_diversity_5m"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [300] * 5
