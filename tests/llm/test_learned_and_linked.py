@@ -127,6 +127,29 @@ def test_toxicity_joined_models_score_alike(spark, monkeypatch, edge):
     assert toxicity.score(edge.limit(0), labels, ["doc_id"]).count() == 0
 
 
+def test_toxicity_of_large_models_writes_no_table_of_the_texts(spark, monkeypatch):
+    """Other texts to score add no written rows, and scores don't depend on the ways of large models."""
+    docs, labels = labelled_corpus(spark, 200)
+    other = docs.withColumns({"doc_id": F.col("doc_id") + 1_000_000, "text": F.concat("text", F.lit(" "), "doc_id", F.lit(" w "), "doc_id")})
+    want = {r["doc_id"]: r["score"] for r in toxicity.score(docs, labels, ["doc_id"]).collect()}
+    table, rows = toxicity.A.table, []
+
+    def written(df, name, by=None):
+        got = table(df, name, by)
+        rows.append((name, got.count()))
+        return got
+
+    monkeypatch.setattr(toxicity.A, "table", written)
+    monkeypatch.setattr(toxicity.A, "PIECE_ROWS", 400)
+    monkeypatch.setattr(toxicity.A, "PIECES_BY_TASK", 2)
+    monkeypatch.setattr(toxicity, "MODEL_ROWS", 0)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, labels, ["doc_id"]).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+    before, rows[:] = list(rows), []
+    assert toxicity.score(docs.union(other), labels, ["doc_id"]).count() == 2 * len(want)
+    assert rows == before
+
+
 def test_quality_held_out(spark, edge):
     docs, labels = labelled_corpus(spark)
     got = quality_classifier.score(docs, labels).collect()

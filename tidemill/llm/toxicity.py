@@ -21,10 +21,10 @@ counts aren't in the models, turns them into a score.
 
 Counting, discounts and context masses are Spark aggregations over all labelled
 texts.  All words, contexts and pairs are kept under their full 64-bit hashes, so
-the models grow with the labelled texts.  Up to ``MODEL_ROWS`` pairs they reach the
-workers as sorted arrays in key ranges (``arrays.Pieces``), of which a worker holds
-one of each table at a time; larger models are joined with the texts' pairs
-(``joined_features``).  Both give the same features.
+the models grow with the labelled texts.  They reach the workers as sorted arrays in
+key ranges (``arrays.Pieces``), of which a worker holds one of each table at a time;
+above ``MODEL_ROWS`` pairs more text goes through them at once.  Tables on disk follow
+the model, never the texts' pairs.
 
 Defined results: a null text counts as empty; a text without words has the
 ratios 0; labels that are null or not 0 or 1 are ignored, of several for a key
@@ -45,11 +45,11 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 
-#: Bytes that go through all pieces of large models at a time.
-GROUP_BYTES = 4 << 20
+#: Bytes that go through all pieces of large models at a time, and of those above MODEL_ROWS pairs.
+GROUP_BYTES, LARGE_GROUP_BYTES = 4 << 20, 8 << 20
 #: Different pairs that a task gathers before it sends them on.
 COUNT_ROWS = 1 << 19
-#: Above this many pairs the models are joined with the texts' pairs instead.
+#: Above this many pairs a worker takes LARGE_GROUP_BYTES at a time, as each time loads the whole model.
 MODEL_ROWS = 16_000_000
 SHARED = 0.5
 EXCESS = 1.5
@@ -141,10 +141,9 @@ class Model:
     def pieces(self) -> Model:
         """The same as arrays that workers hold; the tables are deleted."""
         owner = uuid.uuid4().hex
-        of = lambda t, values: A.Pieces.of(owner, t, values=values)
-        made = Model(of(self.words, WORD_VALUES), of(self.pairs.select(_pair_column("a", "b").alias("key"), "n0", "n1"), ("n0", "n1")), self.cuts)
-        A.drop(self.words, self.pairs)
-        return made
+        words = A.Pieces.of(owner, self.words, values=WORD_VALUES, spent=self.words)
+        pairs = self.pairs.select(_pair_column("a", "b").alias("key"), "n0", "n1")
+        return Model(words, A.Pieces.of(owner, pairs, values=("n0", "n1"), spent=self.pairs), self.cuts)
 
 
 def learn(train: DataFrame, text: str) -> Model:
@@ -168,12 +167,17 @@ def learn(train: DataFrame, text: str) -> Model:
 
 def features(blocks: list[A.Block], model: Model) -> np.ndarray:
     """Mean log-ratio, mean excess and share of exceeding words by pairs, the same by words alone, log length of each text."""
-    tokens = [_tokens(b) for b in blocks]
-    words = model.words.find([*(b.view(np.int64) for _, b, _ in tokens), np.zeros(1, np.int64)], 0)
-    pairs = model.pairs.find([_pair(a, b).view(np.int64) for a, b, _ in tokens], 0)
-    start, out = words.pop(), []
+    keys, pair_keys, all_bounds, out = [np.zeros(1, np.int64)], [], [], []
+    for block in blocks:
+        a, b, bounds = _tokens(block)
+        keys.append(b.view(np.int64))
+        pair_keys.append(_pair(a, b).view(np.int64))
+        all_bounds.append(bounds)
+    words, pairs = model.words.each(keys, 0), model.pairs.each(pair_keys, 0)
+    del a, b, keys, pair_keys  # the keys go when they are looked up
+    start = next(words)
     with np.errstate(divide="ignore", invalid="ignore"):
-        for (_, _, bounds), word, n in zip(tokens, words, pairs):
+        for bounds, word, n in zip(all_bounds, words, pairs):
             # the word before is the context; a text begins in that of no word
             before = np.r_[start, word[:-1]][: len(word)]
             firsts = bounds[:-1]
@@ -192,63 +196,10 @@ def features(blocks: list[A.Block], model: Model) -> np.ndarray:
     return np.concatenate(out)
 
 
-def joined_features(docs: DataFrame, model: Model, text: str) -> DataFrame:
-    """(h, g, features) of the different texts of docs, by joins of their pairs with the models:
-    nothing is broadcast, and a common pair's rows are Spark's to split.  h and g are two
-    chained hashes of the text."""
-    A.ship(docs.sparkSession)
-
-    def run(batches):
-        for batch in batches:
-            h, g = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            for block in A.text_blocks(batch.column(0)):
-                a, b, bounds = _tokens(block)
-                row = np.repeat(np.arange(block.first, block.last), np.diff(bounds))
-                _, at, n = np.unique(A.pair(A.pair(a, b), row.astype(np.uint64)), return_index=True, return_counts=True)
-                for s in range(0, len(at), 1 << 16):
-                    i = at[s : s + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(h[row[i]]), pa.array(g[row[i]]), A.long_array(a[i]), A.long_array(b[i]), pa.array(n[s : s + (1 << 16)])], names=["h", "g", "a", "b", "n"])
-
-    named = docs.select(_text(text).alias("t")).select("t", *_name("t"))
-    held = A.table(named.dropDuplicates(["h", "g"]).mapInArrow(run, "h long, g long, a long, b long, n long"), "tokens")
-    low = model.words.select(F.col("key").alias("b"), "p0", "p1")
-    context = model.words.select(F.col("key").alias("a"), *WORD_VALUES[2:])
-    got = held.join(model.pairs, ["a", "b"], "left").join(low, "b", "left").join(context, "a", "left")
-    x = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    count = [x("n0"), x("n1"), x("n0") + x("n1")]
-    seen = [x(c) for c in ("s0", "s1", "s")]
-    own = [F.when(s > 0, F.greatest(n - d, F.lit(0.0)) / s).otherwise(0.0) for n, d, s in zip(count, model.cuts, seen)]
-    left = [F.when(s > 0, d * x(k) / s).otherwise(1.0) for k, d, s in zip(("k0", "k1", "k"), model.cuts, seen)]
-    by = lambda i, c: own[i] + left[i] * F.col(f"p{c}")
-    likely = [F.when(seen[c] > 0, (1 - SHARED) * by(c, c) + SHARED * by(2, c)).otherwise(by(2, c)) for c in (0, 1)]
-    floor, size, found = F.lit(1e-12), F.sum("n"), []
-    ratio = lambda p: F.when(F.col("p0") > 0, F.log(F.greatest(p[1], floor)) - F.log(F.greatest(p[0], floor))).otherwise(0.0)
-    got = got.select("h", "g", "n", ratio(likely).alias("ratio2"), ratio([F.col("p0"), F.col("p1")]).alias("ratio1"))
-    for c in ("ratio2", "ratio1"):
-        over = F.greatest(F.col(c) - EXCESS, F.lit(0.0))
-        found += [F.sum(v * F.col("n")) / size for v in (F.col(c), over, (over > 0).cast("int"))]
-    sums = got.groupBy("h", "g").agg(F.array(*found, F.log1p(size)).alias("features"))
-    return A.table(sums, "features")
-
-
-def _text(text: str) -> Column:
-    return F.coalesce(F.col(text).cast("string"), F.lit(""))
-
-
-def _name(t: str | Column) -> tuple[Column, Column]:
-    return F.xxhash64(t).alias("h"), F.xxhash64(F.lit(1), t).alias("g")
-
-
-def _scored(docs: DataFrame, model: Model, weights, keep: list[str], text: str, raw: bool) -> DataFrame:
-    """keep and the features (``raw``) or the score of every row."""
-    new = "features" if raw else "score"
+def _scored(docs: DataFrame, model: Model, weights, keep: list[str], text: str, raw: bool, group: int = GROUP_BYTES) -> DataFrame:
+    """keep and the features (``raw``) or the score of every row; ``group`` bytes go through all pieces at a time."""
     if isinstance(model.pairs, DataFrame):
-        keep = [c for c in dict.fromkeys(keep) if c.lower() != new]
-        some = docs.select(*[F.col("`" + c.replace("`", "``") + "`").alias(f"k{i}") for i, c in enumerate(keep)], *_name(_text(text)))
-        x = F.coalesce("features", F.array(*[F.lit(0.0)] * FEATURES))  # a text without words
-        z = F.lit(0.0) if raw else sum((x[i] * float(w) for i, w in enumerate(weights[:-1])), F.lit(float(weights[-1])))
-        out = some.join(joined_features(docs, model, text), ["h", "g"], "left")
-        return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], (x if raw else 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))).alias(new))
+        model = model.pieces()
     many = model.words.many or model.pairs.many
 
     def start():
@@ -261,23 +212,21 @@ def _scored(docs: DataFrame, model: Model, weights, keep: list[str], text: str,
 
         return work
 
-    return A.append_columns(docs, text, keep, [("features", "array<double>") if raw else ("score", "double")], start, group=GROUP_BYTES if many else 0)
+    return A.append_columns(docs, text, keep, [("features", "array<double>") if raw else ("score", "double")], start, group=group if many else 0)
 
 
 def score(docs: DataFrame, labels: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """``keep``, score, held_out and predicted of every row; the model is learnt from ``labels``."""
     src = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     named = labels.select(F.col(key).alias("key"), F.col(label).alias("label"))
-    with A.Scope() as scope:
+    with A.Scope():
         model = learn(A.labelled(src, named, "key", "label", COUNTED), "text")
-        if model.pairs.count() <= MODEL_ROWS:
-            model = model.pieces()
-        else:
-            scope.keep(model.words, model.pairs)
+        group = LARGE_GROUP_BYTES if model.pairs.count() > MODEL_ROWS else GROUP_BYTES
+        model = model.pieces()
         some = A.labelled(src, named, "key", "label", CALIBRATED, CALIBRATION_ROWS)
-        x, y = A.sample(_scored(some, model, None, ["key", "y"], "text", True), ["features"], FEATURES)
+        x, y = A.sample(_scored(some, model, None, ["key", "y"], "text", True, group), ["features"], FEATURES)
     weights = A.logistic(x, y)
     held = F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4)) == HELD_OUT
     keep = [c for c in keep if c.lower() not in ("held_out", "predicted")]
-    out = _scored(docs, model, weights, list(dict.fromkeys([*keep, key])), text, False)
+    out = _scored(docs, model, weights, list(dict.fromkeys([*keep, key])), text, False, group)
     return out.withColumns({"held_out": held, "predicted": (F.col("score") >= THRESHOLD).cast("int")})
